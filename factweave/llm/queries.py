@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from factweave.llm.components import connected_groups, latest_links
 from factweave.llm.leaks import find_leaks, remove_leaks
 from factweave.llm.mixture import draw, mixture_plan
+from factweave.llm.names import variants
+from factweave.llm.subjects import subject_areas
 from factweave.plans.registry import Registry
 from factweave.session import cut, table
 
@@ -65,3 +67,25 @@ def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     """How often each document is used in the mix."""
     documents = table(spark, sf, "documents")
     return draw(documents, mixture_plan(documents, table(spark, sf, "source_targets")))
+
+
+@llm.query("p4_found")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of subject_keys naming the same firm or person, and of metric_keys naming the same measure."""
+    return variants(table(spark, sf, "facts"))
+
+
+def _areas(spark: SparkSession, sf: str) -> DataFrame:
+    return subject_areas(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "subject_areas"))
+
+
+@llm.query("p8_found")
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the subject areas that at least three of their sentences treat."""
+    return _areas(spark, sf).select("doc_id", "subject_code").distinct()
+
+
+@llm.query("p8_composition")
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and treated sentences of each subject area in the corpus."""
+    return _areas(spark, sf).groupBy("subject_code").agg(F.count_distinct("doc_id").alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
