@@ -1,5 +1,6 @@
 """End-to-end plans and the registered queries with their oracle SQL."""
 
 from factweave.plans.general import general
+from factweave.plans.knowledge import knowledge
 
-REGISTRIES = [general]
+REGISTRIES = [general, knowledge]
