@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.functions.quantities import canonical_quantity, infer_unit, normalize_quantity, parse_number
+from factweave.functions.quantities import infer_unit, normalize_quantity, parse_number
 from factweave.functions.text import grounding_quality, locate, strip
 from factweave.operators.dedupe import best_by
 from factweave.schema import CONTEXT_KEYS, NULL_LIKE, PAYLOAD
+from factweave.session import pin
 
 
 def payload(c: Column) -> Column:
@@ -61,28 +62,27 @@ def ground(rows: DataFrame) -> DataFrame:
     ``rows`` has ``raw`` (a proposal), ``window_text`` and ``window_start``. A quote must stand in its window, up to white space.
     """
     raw = F.col("raw")
-    at = rows.withColumn("__at", locate(F.col("window_text"), raw["quote"]))
-    at = at.withColumn("found", F.expr("substring(window_text, __at.start + 1, __at.stop - __at.start)"))
-    has_value = F.coalesce(F.length(strip(raw["value_raw"])) > 0, F.lit(False))
+    at = pin(rows, {"__at": locate(F.col("window_text"), raw["quote"])})
+    at = pin(at, {"found": F.expr("substring(window_text, __at.start + 1, __at.stop - __at.start)")})
     first = normalize_quantity(raw["value_raw"], F.lit(None).cast("double"), raw["magnitude"], raw["unit"])
-    seen = infer_unit(F.col("found"))
-    unit = F.when((first["unit"].isNull() | (first["unit"] == "count")) & seen.isNotNull(), seen).otherwise(raw["unit"])
-    canon = canonical_quantity(raw["value_raw"], raw["magnitude"], raw["unit"], F.col("found"))
-    at = at.withColumns({"__canon": canon, "__quality": grounding_quality(raw["value_raw"], F.col("found")), "__unit": unit})
+    at = pin(at, {"__first": first, "__seen": infer_unit(F.col("found")), "__quality": grounding_quality(raw["value_raw"], F.col("found")), "__text": F.nullif(strip(F.coalesce(raw["value_text"], F.lit(""))), F.lit("")), "__has": F.coalesce(F.length(strip(raw["value_raw"])) > 0, F.lit(False))})
+    again = (F.col("__first.unit").isNull() | (F.col("__first.unit") == "count")) & F.col("__seen").isNotNull()
+    second = normalize_quantity(raw["value_raw"], F.lit(None).cast("double"), raw["magnitude"], F.col("__seen"))
+    at = pin(at, {"__canon": F.when(again, second).otherwise(F.col("__first")), "__unit": F.when(again, F.col("__seen")).otherwise(raw["unit"])})
     quantity = F.struct(strip(raw["value_raw"]).alias("raw"), parse_number(raw["value_raw"]).alias("value"), raw["magnitude"].alias("magnitude"), F.col("__unit").alias("unit"), F.col("__canon.value").alias("canonical_value"), F.col("__canon.unit").alias("canonical_unit"))
-    text = F.nullif(strip(F.coalesce(raw["value_text"], F.lit(""))), F.lit(""))
-    out = at.withColumns(
+    out = pin(
+        at,
         {
-            "outcome": F.when(F.col("__at").isNull(), F.lit("ungrounded")).when(~has_value & text.isNull(), F.lit("empty")).otherwise(F.lit("kept")),
+            "outcome": F.when(F.col("__at").isNull(), F.lit("ungrounded")).when(~F.col("__has") & F.col("__text").isNull(), F.lit("empty")).otherwise(F.lit("kept")),
             "span": F.when(F.col("__at").isNotNull(), F.struct((F.col("__at.start") + F.col("window_start")).alias("start"), (F.col("__at.stop") + F.col("window_start")).alias("stop"))),
-            "quantity": F.when(has_value, quantity),
-            "value_text": text,
+            "quantity": F.when(F.col("__has"), quantity),
+            "value_text": F.col("__text"),
             "context": context_of(raw),
             "confidence": F.round(raw["confidence"] * F.col("__quality.factor") + 1e-9, 3),
             "notes": F.col("__quality.note"),
-        }
+        },
     )
-    return out.drop("__at", "__canon", "__quality", "__unit")
+    return out.drop("__at", "__first", "__seen", "__canon", "__quality", "__unit", "__text", "__has")
 
 
 def to_facts(grounded: DataFrame) -> DataFrame:

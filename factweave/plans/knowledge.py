@@ -206,12 +206,12 @@ def vintage_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sql_density(c: str) -> str:
-    flag = lambda p, w: f"CASE WHEN regexp_matches({c}, '{p}') THEN {w} ELSE 0.0::DOUBLE END"
+    flag = lambda p, w: f"CASE WHEN regexp_matches(strip_accents({c}), '{p}') THEN {w} ELSE 0.0::DOUBLE END"
     ratio = f"(len(regexp_extract_all({c}, '\\d'))::DOUBLE / length({c}))"
     currency = r"(?i)[₹$€£]|\b(?:rs\.?|inr|usd|eur)\b"
-    money = f"CASE WHEN regexp_matches(strip_accents({c}), '{currency}') THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END"  # its word bounds are ASCII
-    score = f"least({ratio} * 40, 4.0::DOUBLE) + {money} + " + " + ".join(flag(p, f"{w}::DOUBLE") for p, w in ((text.MAGNITUDE, 2.0), (text.PERCENT, 1.5), (text.PERIOD, 2.0), (text.MONTH_DATE, 1.5), (text.STATE_VERB, 1.5)))
-    score += f" + least(len(regexp_extract_all({c}, '{text.CLAIM}')) * 1.6::DOUBLE, 4.8::DOUBLE)"
+    # without accents, as its word bounds know ASCII letters only
+    score = f"least({ratio} * 40, 4.0::DOUBLE) + " + " + ".join(flag(p, f"{w}::DOUBLE") for p, w in ((currency, 2.0), (text.MAGNITUDE, 2.0), (text.PERCENT, 1.5), (text.PERIOD, 2.0), (text.MONTH_DATE, 1.5), (text.STATE_VERB, 1.5)))
+    score += f" + least(len(regexp_extract_all(strip_accents({c}), '{text.CLAIM}')) * 1.6::DOUBLE, 4.8::DOUBLE)"
     return f"(CASE WHEN length({c}) >= 120 THEN round(({score}) * (CASE WHEN {ratio} > 0.35 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) + 1e-9, 3) ELSE 0.0::DOUBLE END)"
 
 

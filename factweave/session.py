@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", app: str = "factweave") -> SparkSession:
@@ -41,6 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` whose expressions are worked out once for each row.
+
+    The optimiser puts a projection's expressions into the next one, once for each use; where a costly one is used many
+    times that multiplies work and plan. It does not do so across a generator, so the new columns pass through one.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*df.columns, packed.alias("__pinned")).select(*kept, *[F.col(f"__pinned.{n}").alias(n) for n in columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
