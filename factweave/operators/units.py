@@ -15,8 +15,6 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.session import pin
-
 #: source unit -> target unit, value_target = scale * value_source + offset.
 CONVERSIONS: tuple[tuple[str, str, float, float], ...] = (
     ("basis_point", "percent", 0.01, 0.0),
@@ -176,14 +174,13 @@ def read_quantity(df: DataFrame, raw: str, magnitude: str, unit: str, quote: str
     Nouns that are no unit of measure (``gateways``) are things counted.
     """
     col = F.col
-    df = pin(
-        df,
+    df = df.withColumns(
         {
             "__raw": _tidy(col(raw)),
             "__mag": F.regexp_replace(_tidy(col(magnitude)), r"\.$", ""),
             "__unit": _tidy(col(unit)),
             "__quote": _tidy(col(quote)),
-        },
+        }
     )
     literal = F.regexp_replace(col("__raw"), r"\\E", "")
     ends = F.lit(r"\E(?!\d|[.,]\d)")
@@ -192,14 +189,13 @@ def read_quantity(df: DataFrame, raw: str, magnitude: str, unit: str, quote: str
         led = F.concat(F.lit(r"(?<=\Q"), F.regexp_replace(_tidy(col(measure)), r"\\E", ""), F.lit(r"\E of [^\d\s]{0,4} ?[^\d\s]{0,2})\Q"), literal, ends)
         led = F.when(_tidy(col(measure)) != "", F.regexp_instr(col("__quote"), led))
         found = F.when(led > 0, led).otherwise(found)
-    df = pin(df, {"__at": F.when(F.length("__raw") > 0, found)})
-    df = pin(
-        df,
+    df = df.withColumn("__at", F.when(F.length("__raw") > 0, found))
+    df = df.withColumns(
         {
             "__before": F.when(col("__at") > 0, F.substring(col("__quote"), F.greatest(F.lit(1), col("__at") - 20), F.least(F.lit(20), col("__at") - 1))),
             "__after": F.when(col("__at") > 0, F.substring(col("__quote"), col("__at") + F.length("__raw"), F.lit(48))),
             "__head": F.regexp_extract(F.regexp_replace(col("__quote"), "'000", "thousand"), r"(?:[(\[]|amounts )([^()\[\]:\d]*(?:" + _MAG + "|" + _MONEY + r")[^()\[\]:\d]*)[)\]:]", 1),
-        },
+        }
     )
     tail = r"^" + r"[\s)]*(?:(" + _MAG + r")\.?)?\s*(" + _UNIT + r")?"
     lead = r"(" + _UNIT + r")\.?\s*[(−–-]?\s*$"
@@ -215,13 +211,12 @@ def read_quantity(df: DataFrame, raw: str, magnitude: str, unit: str, quote: str
         _some(F.regexp_extract(col("__head"), "(" + _UNIT + ")", 1)),
         F.when(col("__after").rlike(r"^[\s)]*(?:(?:" + _MAG + r")\.?)?\s*[a-z]"), F.lit("count")),
     )
-    return pin(
-        df,
+    return df.withColumns(
         {
             "q_number": read_number(col("__raw")),
             "q_factor": F.coalesce(_lookup(factor_word, MAGNITUDES), F.lit(1.0)),
             "q_alias": F.regexp_replace(unit_word, r"\s+", " "),
-        },
+        }
     ).drop("__raw", "__mag", "__unit", "__quote", "__at", "__before", "__after", "__head")
 
 
