@@ -36,12 +36,19 @@ _TOKEN = re.compile("[a-z]+|\\d{1,3}(?:[,  ]\\d{2,3})+(?:\\.\\d+)?|\\d+(?:\\.
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _GROUP = str.maketrans("", "", ",  ")
 _MARKS = re.compile("[̀-ͯ]+")
+_THIN = re.compile("(?<=\\d)[\u00a0\u202f](?=\\d{2,3})")
+
+
+def joined_groups(text: str) -> str:
+    """Group marks that are spaces as commas, which the folding below leaves alone; as long as the text itself."""
+    return _THIN.sub(",", text) if "\u00a0" in text or "\u202f" in text else text
 
 
 def plain(text: str) -> str:
     """Lower case, without accents; as long as the text itself if that is ASCII."""
     if text.isascii():
         return text.lower()
+    text = joined_groups(text)
     return _MARKS.sub("", unicodedata.normalize("NFKD", text.lower()))
 
 
@@ -68,8 +75,9 @@ class Items:
         self.vocab = {w: k for k, w in enumerate(sorted(seen), 1)}
         self.base = len(self.vocab) + 1
         rare = max(2, math.ceil(0.01 * len(self.words)))
-        #: Names and figures: what few items have.
-        self.marked = {self.vocab[w] for w, c in seen.items() if c <= rare}
+        #: Names and figures: what few items have, and in a small set of items also looks like one.
+        named = {plain(w) for _, t in rows for w in re.findall(r"(?<![.?!] )(?<!^)\b[^\W\d_]+", t or "") if w[0].isupper()}
+        self.marked = {self.vocab[w] for w, c in seen.items() if c <= rare and (len(self.words) >= 50 or w[0].isdigit() or w in named)}
         self.ids = {i: [self.vocab[w] for w in ws] for i, ws in self.words.items()}
         self.places = {i: self._places(ws) for i, ws in self.ids.items()}
         grams: dict[int, list[int]] = defaultdict(list)
@@ -141,6 +149,16 @@ def _dense(pairs: list[tuple[int, int]], gap: int) -> list[list[tuple[int, int]]
     return out
 
 
+def _trimmed(s: list[tuple[int, int]], marked: set[int], ws: list[int]) -> list[tuple[int, int]]:
+    """A stretch without stray words at its ends: it begins and ends with a name, a figure or two words in a row."""
+    a, b = 0, len(s)
+    while b - a > 1 and ws[s[a][1]] not in marked and (s[a + 1][0] - s[a][0], s[a + 1][1] - s[a][1]) != (1, 1):
+        a += 1
+    while b - a > 1 and ws[s[b - 1][1]] not in marked and (s[b - 1][0] - s[b - 2][0], s[b - 1][1] - s[b - 2][1]) != (1, 1):
+        b -= 1
+    return s[a:b]
+
+
 def verify(ids: list[int], at: list[int], item: int, items: Items, share: float = SHARE, marked_share: float = MARKED_SHARE, gap: int = GAP) -> tuple[int, list[tuple[int, int]]] | None:
     """(matched words, token spans) of the best one or two stretches, or None if the document is no case."""
     places, ws = items.places[item], items.ids[item]
@@ -152,7 +170,7 @@ def verify(ids: list[int], at: list[int], item: int, items: Items, share: float
             stretches += _dense(common_places(ids, max(0, first), min(len(ids), p + items.n + gap), places), gap)
             lo = at[k + 1] if k + 1 < len(at) else lo
     kept = []
-    for s in stretches:
+    for s in (_trimmed(x, items.marked, ws) for x in stretches):
         got = {q for _, q in s}
         inside = [q for q in range(s[0][1], s[-1][1] + 1) if ws[q] in items.marked]
         held = sum(q in got for q in inside)
@@ -174,7 +192,7 @@ def verify(ids: list[int], at: list[int], item: int, items: Items, share: float
 def _char_spans(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Token spans as code-point offsets of the text itself."""
     origin, parts = [], []
-    for k, c in enumerate(text):
+    for k, c in enumerate(joined_groups(text)):
         d = c.lower() if c.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", c.lower()))
         parts.append(d)
         origin += [k] * len(d)

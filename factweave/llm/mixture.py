@@ -89,7 +89,7 @@ def water_fill(targets: list[tuple[str, float, int, int]], total: float) -> dict
         weight = sum(share[k] for k in free)
         over = [k for k in sorted(free) if supply[k] <= (left * share[k] / weight if weight else 0.0)]
         if not over:
-            given |= {k: left * share[k] / weight for k in free}
+            given |= {k: left * share[k] / weight if weight else 0.0 for k in free}
             break
         for k in over:
             given[k] = supply[k]
