@@ -80,14 +80,6 @@ def normalize_quantity(raw: Column, value: Column, magnitude: Column, unit: Colu
     return F.struct(out.alias("value"), F.when(v.isNotNull(), name).alias("unit"))
 
 
-def canonical_quantity(raw: Column, magnitude: Column, unit: Column, quote: Column) -> Column:
-    """``normalize_quantity`` with the quote's unit where the unit itself says nothing."""
-    first = normalize_quantity(raw, F.lit(None).cast("double"), magnitude, unit)
-    seen = infer_unit(quote)
-    again = normalize_quantity(raw, F.lit(None).cast("double"), magnitude, seen)
-    return F.when((first["unit"].isNull() | (first["unit"] == "count")) & seen.isNotNull(), again).otherwise(first)
-
-
 def relative_gap(a: Column, b: Column) -> Column:
     """Difference over the larger magnitude; nought if both are nought."""
     top = F.greatest(F.abs(a), F.abs(b))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.functions.quantities import infer_unit, normalize_quantity, parse_number
+from factweave.functions.quantities import infer_unit, parse_number, scale, unit_phrase
 from factweave.functions.text import grounding_quality, locate, strip
 from factweave.operators.dedupe import best_by
 from factweave.schema import CONTEXT_KEYS, NULL_LIKE, PAYLOAD
@@ -56,6 +56,20 @@ def cache_key(prompt_version: str, model: str, text: Column) -> Column:
     return F.sha2(F.concat(F.lit(prompt_version), F.char(F.lit(0)), F.lit(model), F.char(F.lit(0)), text), 256)
 
 
+def with_canonical(df: DataFrame, raw: Column, magnitude: Column, unit: Column, quote: Column) -> DataFrame:
+    """Adds ``__value``, ``__name`` and ``__unit``: a quantity in its canonical unit, the quote's unit where its own says nothing."""
+    phrase = unit_phrase(unit)
+    own = F.when(F.length(magnitude) > 0, magnitude)
+    parts = {"__v": parse_number(raw), "__seen": infer_unit(quote), "__u": phrase["unit"], "__k": scale(F.coalesce(own, phrase["magnitude"]))["factor"], "__plain": scale(own)["factor"]}
+    df = pin(df, parts)
+    again = (F.col("__v").isNull() | F.col("__u").isNull() | (F.col("__u") == "count")) & F.col("__seen").isNotNull()
+    df = pin(df, {"__unit": F.when(again, F.col("__seen")).otherwise(unit), "__u2": F.when(again, F.col("__seen")).otherwise(F.col("__u")), "__k2": F.when(again, F.col("__plain")).otherwise(F.col("__k"))})
+    u, v = F.col("__u2"), F.col("__v")
+    value = F.when(u == "bps", v / 100).when(u == "percent", v).otherwise(v * F.col("__k2"))
+    name = F.when(u.isin("bps", "percent"), F.lit("percent")).otherwise(F.coalesce(u, F.lit("count")))
+    return pin(df, {"__value": value, "__name": F.when(v.isNotNull(), name)}).drop(*parts, "__u2", "__k2")
+
+
 def ground(rows: DataFrame) -> DataFrame:
     """Proposals with ``outcome`` (``kept``, ``ungrounded`` or ``empty``), ``span``, ``found`` quote, ``quantity``, ``context`` and ``confidence``.
 
@@ -64,12 +78,9 @@ def ground(rows: DataFrame) -> DataFrame:
     raw = F.col("raw")
     at = pin(rows, {"__at": locate(F.col("window_text"), raw["quote"])})
     at = pin(at, {"found": F.expr("substring(window_text, __at.start + 1, __at.stop - __at.start)")})
-    first = normalize_quantity(raw["value_raw"], F.lit(None).cast("double"), raw["magnitude"], raw["unit"])
-    at = pin(at, {"__first": first, "__seen": infer_unit(F.col("found")), "__quality": grounding_quality(raw["value_raw"], F.col("found")), "__text": F.nullif(strip(F.coalesce(raw["value_text"], F.lit(""))), F.lit("")), "__has": F.coalesce(F.length(strip(raw["value_raw"])) > 0, F.lit(False))})
-    again = (F.col("__first.unit").isNull() | (F.col("__first.unit") == "count")) & F.col("__seen").isNotNull()
-    second = normalize_quantity(raw["value_raw"], F.lit(None).cast("double"), raw["magnitude"], F.col("__seen"))
-    at = pin(at, {"__canon": F.when(again, second).otherwise(F.col("__first")), "__unit": F.when(again, F.col("__seen")).otherwise(raw["unit"])})
-    quantity = F.struct(strip(raw["value_raw"]).alias("raw"), parse_number(raw["value_raw"]).alias("value"), raw["magnitude"].alias("magnitude"), F.col("__unit").alias("unit"), F.col("__canon.value").alias("canonical_value"), F.col("__canon.unit").alias("canonical_unit"))
+    at = with_canonical(at, raw["value_raw"], raw["magnitude"], raw["unit"], F.col("found"))
+    at = pin(at, {"__quality": grounding_quality(raw["value_raw"], F.col("found")), "__text": F.nullif(strip(F.coalesce(raw["value_text"], F.lit(""))), F.lit("")), "__has": F.coalesce(F.length(strip(raw["value_raw"])) > 0, F.lit(False))})
+    quantity = F.struct(strip(raw["value_raw"]).alias("raw"), parse_number(raw["value_raw"]).alias("value"), raw["magnitude"].alias("magnitude"), F.col("__unit").alias("unit"), F.col("__value").alias("canonical_value"), F.col("__name").alias("canonical_unit"))
     out = pin(
         at,
         {
@@ -82,7 +93,7 @@ def ground(rows: DataFrame) -> DataFrame:
             "notes": F.col("__quality.note"),
         },
     )
-    return out.drop("__at", "__first", "__seen", "__canon", "__quality", "__unit", "__text", "__has")
+    return out.drop("__at", "__value", "__name", "__quality", "__unit", "__text", "__has")
 
 
 def to_facts(grounded: DataFrame) -> DataFrame:

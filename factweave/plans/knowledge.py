@@ -108,7 +108,8 @@ FROM d"""
 def normalize_quantity(spark: SparkSession, sf: str) -> DataFrame:
     """canonical value and unit of every quantity, the quote's unit where its own says nothing."""
     q = table(spark, sf, "facts").where("quantity IS NOT NULL").select("fact_id", F.col("quantity.raw").alias("raw"), F.col("quantity.magnitude").alias("mag"), F.col("quantity.unit").alias("unit"), F.col("evidence.quote").alias("quote")).distinct()
-    return q.withColumn("c", quantities.canonical_quantity(F.col("raw"), F.col("mag"), F.col("unit"), F.col("quote"))).select("fact_id", "raw", F.col("c.value").alias("value"), F.col("c.unit").alias("unit"))
+    c = extract.with_canonical(q, F.col("raw"), F.col("mag"), F.col("unit"), F.col("quote"))
+    return c.select("fact_id", "raw", F.col("__value").alias("value"), F.col("__name").alias("unit"))
 
 
 @query(
