@@ -116,7 +116,7 @@ def key_profile(df: DataFrame, keys: list[str], value: str, ts: str, row_id: str
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    parts = cut(split.mapInPandas(states, state))
+    parts = cut(split.mapInPandas(states, state), costly=True)
     edge = parts.where("edge")
     by_key = W.partitionBy(*ks)
     placed = (

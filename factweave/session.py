@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +61,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the lineage ends in files every executor can read, so a lost executor costs no redo."""
+def cut(df: DataFrame, costly: bool = False) -> DataFrame:
+    """Reliable checkpoint: the lineage ends in files every executor can read, so a lost executor costs no redo.
+
+    Spark works out the last stage of a checkpoint twice, once to count it and once to write it. Where that stage is
+    ``costly`` (Python in it) its rows are kept on disk in between, and given up once they are written.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not costly:
+        return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()
 
 
 def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
