@@ -48,11 +48,11 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def peel(edges: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame, str | None]:
-    """(labels of the peeled vertices, edges left, name of an unfinished peel's contracted vertex)."""
+    """(the peeled vertices, the edges left, the contracted vertex of an unfinished peel or None)."""
     near = cut(_both_ways(edges))
     top = near.groupBy("u").count().orderBy(F.desc("count"), "u").first()
     if top is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).limit(0), edges, None
+        return edges.select(F.col("a").alias("id")).limit(0), edges, None
     start = top["u"]
     seen = frontier = edges.sparkSession.createDataFrame([(start,)], near.select(F.col("u").alias("id")).schema)
     done = False
@@ -77,12 +77,17 @@ def connected_groups(edges: DataFrame, max_peel_rounds: int = 8, max_rounds: int
     """(id, group_id) of every linked record; group_id is the least id of its group.
 
     ``edges`` has ids ``a`` and ``b``; direction, repeats, nulls and links to oneself don't count. No edges, no
-    rows. Ids compare as strings do. Raises if propagation does not settle in ``max_rounds``, which a chain
-    of more links than there are atoms would need.
+    rows. Ids compare as strings do. The rounds run on numbers, given to the ids once and written down; names come
+    back at the end. Raises if propagation does not settle in ``max_rounds``, which a chain of more links than there
+    are atoms would need.
     """
     a, b = F.col("a").cast("string"), F.col("b").cast("string")
-    edges = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    seen, rest, hub = peel(edges, max_peel_rounds)
+    named = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    ids = named.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    numbers = cut(ids.withColumn("id", F.monotonically_increasing_id()))
+    ends = named.join(numbers.select(F.col("name").alias("a"), F.col("id").alias("x")), "a").join(numbers.select(F.col("name").alias("b"), F.col("id").alias("y")), "b")
+    links = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    seen, rest, hub = peel(links, max_peel_rounds)
     state, last = cut(rest), None
     for _ in range(max_rounds):
         now = _fingerprint(state)
@@ -92,11 +97,19 @@ def connected_groups(edges: DataFrame, max_peel_rounds: int = 8, max_rounds: int
         state = cut(_star_round(state))
     else:
         raise RuntimeError("minimum propagation did not settle")
-    labels = state.select(F.col("b").alias("id"), F.col("a").alias("group_id"))
-    labels = labels.unionByName(state.select(F.col("a").alias("id"), F.col("a").alias("group_id")).distinct())
-    if hub is None:
-        giant = seen.select("id", F.lit(seen.agg(F.min("id")).first()[0]).alias("group_id"))
-        return labels.unionByName(giant)
-    found = labels.where(F.col("id") == hub).first()
-    giant = seen.select("id", F.lit(found["group_id"] if found else hub).alias("group_id"))
-    return labels.where(F.col("id") != hub).unionByName(giant)
+    labels = state.select(F.col("b").alias("id"), F.col("a").alias("root"))
+    labels = labels.unionByName(state.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
+    if hub is not None:  # an unfinished peel goes on under its contracted vertex
+        found = labels.where(F.col("id") == hub).first()
+        root = found["root"] if found else hub
+        labels = labels.where(F.col("id") != hub)
+        inside = labels.where(F.col("root") == root).select("id").unionByName(seen)
+        labels = labels.where(F.col("root") != root)
+    else:
+        inside = seen
+    # the peeled component may hold most rows, so its name is found by itself and no join gathers it under one key
+    giant = inside.join(numbers, "id").select("name")
+    giant = giant.select(F.col("name").alias("id"), F.lit(giant.agg(F.min("name")).first()[0]).alias("group_id"))
+    small = cut(labels.join(numbers, "id").select("name", "root"))
+    least = small.groupBy("root").agg(F.min("name").alias("group_id"))
+    return small.join(least, "root").select(F.col("name").alias("id"), "group_id").unionByName(giant)
