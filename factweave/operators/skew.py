@@ -46,7 +46,7 @@ def key_counts(df: DataFrame, keys: list[str], order: str, partitions: int | Non
 def heavy_keys(df: DataFrame, keys: list[str], order: str, share: float = 0.05, partitions: int | None = None) -> DataFrame:
     """Key combinations holding at least ``share`` of all rows, with ``n``."""
     total = df.select(F.count(F.lit(1)).alias("t")).scalar()
-    return key_counts(df, keys, order, partitions).where(F.col("n") >= F.lit(share) * total)
+    return key_counts(df, keys, order, partitions).where(F.col("n") / total >= F.lit(share))
 
 
 def key_profile(df: DataFrame, keys: list[str], value: str, ts: str, row_id: str, partitions: int | None = None) -> DataFrame:

@@ -166,7 +166,7 @@ def read_number(raw: Column) -> Column:
 
 
 def read_quantity(df: DataFrame, raw: str, magnitude: str, unit: str, quote: str, measure: str | None = None) -> DataFrame:
-    """Adds ``q_number``, ``q_factor`` and ``q_alias`` (a spelling in ``ALIASES``, or null).
+    """Adds ``__q_number``, ``__q_factor`` and ``__q_alias`` (a spelling in ``ALIASES``, or null).
 
     What stands closest to the value counts first: its own fields, then the printed value itself, then the
     quote right before and after the value, then a note in the quote such as ``(₹ in crores)`` or
@@ -213,9 +213,9 @@ def read_quantity(df: DataFrame, raw: str, magnitude: str, unit: str, quote: str
     )
     return df.withColumns(
         {
-            "q_number": read_number(col("__raw")),
-            "q_factor": F.coalesce(_lookup(factor_word, MAGNITUDES), F.lit(1.0)),
-            "q_alias": F.regexp_replace(unit_word, r"\s+", " "),
+            "__q_number": read_number(col("__raw")),
+            "__q_factor": F.coalesce(_lookup(factor_word, MAGNITUDES), F.lit(1.0)),
+            "__q_alias": F.regexp_replace(unit_word, r"\s+", " "),
         }
     ).drop("__raw", "__mag", "__unit", "__quote", "__at", "__before", "__after", "__head")
 
@@ -232,13 +232,15 @@ def to_common_units(df: DataFrame, targets: DataFrame, raw: str, magnitude: str,
     """``df`` with ``common_value`` and ``common_unit``; both null where the value or its unit can't be read.
 
     The conversion table has a few hundred rows at most (the constants above), which is why it may be broadcast.
-    A null in any part counts as absent, repeated rows stay, extra columns are kept, an empty table stays empty.
+    A null in any part counts as absent, repeated rows stay, extra columns are kept whatever their
+    names (but former ``common_value`` and ``common_unit`` are replaced), an empty table stays empty.
     """
-    read = read_quantity(df, raw, magnitude, unit, quote, measure)
-    table = conversion_table(df.sparkSession, targets, edges)
-    joined = read.join(F.broadcast(table), F.col("q_alias") == F.col("alias"), "left")
-    value = F.col("q_number") * F.col("q_factor") * F.col("scale") + F.col("offset")
-    return joined.withColumn("common_value", value).withColumn("common_unit", F.when(F.col("common_value").isNotNull(), F.col("common_unit"))).drop("alias", "source_unit", "scale", "offset", "q_alias", "q_number", "q_factor")
+    kept = [c for c in df.columns if c not in ("common_value", "common_unit")]
+    read = read_quantity(df.select(*kept), raw, magnitude, unit, quote, measure)
+    table = conversion_table(df.sparkSession, targets, edges).select(F.col("alias").alias("__alias"), F.col("common_unit").alias("__to"), F.col("scale").alias("__scale"), F.col("offset").alias("__offset"))
+    joined = read.join(F.broadcast(table), F.col("__q_alias") == F.col("__alias"), "left")
+    value = F.col("__q_number") * F.col("__q_factor") * F.col("__scale") + F.col("__offset")
+    return joined.select(*kept, value.alias("common_value"), F.when(value.isNotNull(), F.col("__to")).alias("common_unit"))
 
 
 def misstated(value: str, unit: str, tolerance: float = 0.005) -> Column:

@@ -33,12 +33,13 @@ def frame(spark, rows):
 
 def test_cases(spark):
     facts, targets = frame(spark, [(i, *c[:4], c[4], c[5], "keep") for i, c in enumerate(CASES)])
-    got = {r.i: r for r in to_common_units(facts.withColumnRenamed("scale", "extra"), targets, "raw", "magnitude", "unit", "quote").withColumn("bad", misstated("canonical_value", "canonical_unit")).collect()}
+    got = {r.i: r for r in to_common_units(facts.withColumns({"alias": F.lit("a"), "offset": F.lit(9.0), "common_unit": F.lit("old"), "source_unit": F.lit("s")}), targets, "raw", "magnitude", "unit", "quote").withColumn("bad", misstated("canonical_value", "canonical_unit")).collect()}
     assert len(got) == len(CASES)
     for i, c in enumerate(CASES):
         assert got[i].common_unit == c[5], c
         assert got[i].common_value == (pytest.approx(c[4]) if c[4] is not None else None), c
         assert not got[i].bad, c
+        assert (got[i].alias, got[i].offset, got[i].scale) == ("a", 9.0, "keep")
 
 
 def test_misstated(spark):
