@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factweave.functions.text import fact_density
+from factweave.session import pin
 
 WINDOW_CHARS = 12_000
 
@@ -47,8 +48,8 @@ def build_windows(blocks: DataFrame, max_chars: int = WINDOW_CHARS) -> DataFrame
 def score_windows(windows: DataFrame, pages: DataFrame) -> DataFrame:
     """Windows with their ``text``, ``score`` and ``window_key``; those that score nought fall out. ``pages`` has (doc_id, page, text)."""
     joined = windows.join(pages.select("doc_id", "page", F.col("text").alias("__page")), ["doc_id", "page"])
-    cut = joined.withColumn("text", F.expr("substring(__page, start + 1, stop - start)")).drop("__page")
-    return cut.withColumn("score", fact_density(F.col("text"))).where("score > 0").withColumn("window_key", F.concat_ws(":", "doc_id", "page", "start"))
+    cut = pin(joined, {"text": F.expr("substring(__page, start + 1, stop - start)")}).drop("__page")
+    return pin(cut, {"score": fact_density(F.col("text"))}).where("score > 0").withColumn("window_key", F.concat_ws(":", "doc_id", "page", "start"))
 
 
 def select_windows(windows: DataFrame, limit: int | None = None) -> DataFrame:
