@@ -108,3 +108,16 @@ def display_value(value: Column, unit: Column) -> Column:
         .when(unit == "percent", F.concat(F.format_number(value, 2), F.lit("%")))
         .otherwise(F.concat_ws(" ", F.format_number(value, 2), unit))
     )
+
+
+def key_chips(relations: DataFrame) -> DataFrame:
+    """(left_id, right_id, keys): the qualifiers to show, differing ones first, then unstated ones, each in alphabetical order."""
+    keys = F.concat(F.array_sort(F.coalesce("differing_keys", F.array().cast("array<string>"))), F.array_sort(F.coalesce("unstated_keys", F.array().cast("array<string>"))))
+    return relations.select("left_id", "right_id", F.array_distinct(keys).alias("keys"))
+
+
+def render(inlined: DataFrame, quote_chars: int = 110, reason_chars: int = 400) -> DataFrame:
+    """(left_id, right_id, text): relations with their facts (see ``with_facts``) as text for a console, long quotes cut."""
+    side = lambda s: F.concat_ws("", F.lit("  "), F.coalesce(f"{s}.evidence.filename", F.lit("?")), F.lit(" p"), F.col(f"{s}.evidence.page").cast("string"), F.lit(": "), F.substring(f"{s}.evidence.quote", 1, quote_chars))
+    head = F.concat_ws("", F.lit("["), "verdict", F.lit("] "), F.format_string("%.3f", "confidence"))
+    return inlined.select("left_id", "right_id", F.concat_ws("\n", head, side("left"), side("right"), F.substring(F.coalesce("reasoning", F.lit("")), 1, reason_chars)).alias("text"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from factweave.operators.dedupe import best_by
 from factweave.schema import FACT
@@ -40,5 +39,8 @@ def facts_per_document(facts: DataFrame) -> DataFrame:
     return facts.groupBy("doc_id").agg(F.struct(F.lit(0).alias("proposed"), F.count(F.lit(1)).cast("int").alias("kept")).alias("stats"))
 
 
-def first_per_document(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(order))).where("__n = 1").drop("__n")
+def accept_uploads(binaries: DataFrame, filings: DataFrame) -> DataFrame:
+    """Uploads (doc_id, filename, content) to take in: PDF files that the store does not hold, under names without folders."""
+    name = F.regexp_replace(F.regexp_replace("filename", r"^.*[/\\\\]", ""), r"[^\w.\- ]", "_")
+    clean = binaries.withColumn("filename", name).where(F.lower("filename").endswith(".pdf"))
+    return clean.join(filings.select("doc_id"), "doc_id", "left_anti")

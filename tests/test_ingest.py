@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from factweave.operators.extract import extraction_stats, failed_calls, ground,
 from factweave.plans.pipeline import ingest, load_facts, relate_ranked
 from factweave.schema import EXTRACTION, FACT
 from factweave.sources.connect import ExtractorError, IngestError, chain, prompt
-from factweave.sources.files import read_binaries, read_facts_json, write_facts_json
+from factweave.sources.files import accept_uploads, read_binaries, read_facts_json, write_facts_json
 from factweave.sources.store import Store
 from factweave.streaming.ingest import fact_stream, ingest_stream
 
@@ -100,6 +101,14 @@ def test_binary_scan(spark, tmp_path):
     assert len(rows) == 2 and all(len(r.doc_id) == 16 for r in rows)
 
 
+def test_uploads(spark):
+    up = spark.createDataFrame([("a", "../../x/A b.PDF", b"1"), ("b", "c:\\t\\k.pdf", b"2"), ("c", "n.txt", b"3")], "doc_id string, filename string, content binary")
+    held = spark.createDataFrame([("b",)], "doc_id string")
+    assert [(r.doc_id, r.filename) for r in accept_uploads(up, held).collect()] == [("a", "A b.PDF")]
+    assert {r.filename for r in accept_uploads(up, held.limit(0)).collect()} == {"A b.PDF", "k.pdf"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_stream_is_idempotent(spark, tmp_path):
     facts = spark.read.parquet("/root/testdata/sf0.001/facts.parquet").limit(60)
     facts.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -139,5 +148,8 @@ def test_browse(spark):
     assert browse.find_relations(rel, facts).count() == 1
     assert browse.find_relations(rel, facts, key="basis", fact_id="f001", search="energy", cross_document=True, verdict="reconciled").count() == 1
     assert browse.find_relations(rel, facts, key="period").count() == 0
+    shown = browse.render(browse.with_facts(rel, facts)).first().text
+    assert shown.startswith("[RECONCILED] 0.900") and "n.pdf p1: q" in shown
+    assert browse.key_chips(rel).where("size(keys) = 1").count() == 1
     stats = browse.corpus_stats(spark.createDataFrame([], "doc_id string, page_count int"), facts, rel).first()
     assert (stats.documents, stats.pages, stats.facts) == (0, 0, 3)
