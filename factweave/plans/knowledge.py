@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factweave.functions import identity, periods, quantities, text, tokens
 from factweave.operators import browse, extract, layout
 from factweave.operators.dedupe import best_by, latest_facts, surest_facts, upsert
-from factweave.operators.pairs import candidate_ids, candidate_pairs, features
+from factweave.operators.pairs import candidate_ids, candidate_pairs, exact_ids, features
 from factweave.operators.verdicts import interesting, judge
 from factweave.operators.windows import build_windows, score_windows, select_windows, text_blocks
 from factweave.plans.registry import Registry
@@ -319,6 +319,13 @@ def candidate_pairs_query(spark: SparkSession, sf: str) -> DataFrame:
     return candidate_pairs(feats).select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
+@query("candidate_pairs_exact", f"WITH {FEATURES_SQL.replace(' AND count(*) <= 400', '')}, {SCORED_SQL} SELECT left_id, right_id, round(score, 6) AS score FROM pairs")
+def candidate_pairs_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 without the cap: every pair of score at least one half, whatever the frequency of its tokens."""
+    feats = cut(features(latest_facts(table(spark, sf, "facts"))))
+    return exact_ids(feats).select("left_id", "right_id", F.round("score", 6).alias("score"))
+
+
 def _residual_sql(x: str) -> str:
     def side(own: str, other: str) -> str:
         explained = " ".join(f"WHEN t IN ({_list(g)}) THEN len(list_intersect({other}.{x}, {_array(g)})) > 0" for g in identity.SYNONYMS)

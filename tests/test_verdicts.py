@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 
 from factweave.operators.dedupe import latest_facts
-from factweave.operators.pairs import candidate_pairs, features
+from factweave.operators.pairs import candidate_ids, candidate_pairs, features
 from factweave.operators.verdicts import judge
 from factweave.schema import FACT
 
@@ -90,3 +90,16 @@ def test_empty_and_repeats(spark):
     assert judge(candidate_pairs(features(none))).count() == 0
     twice = spark.createDataFrame([fact(0), fact(0), fact(1)], FACT)
     assert judge(candidate_pairs(features(latest_facts(twice)))).count() == 1
+
+
+def test_pairs_on_hot_tokens_without_a_cap(spark):
+    rows = [fact(i, subject=f"firm{i % 3}", start=i) for i in range(12)] + [fact(20 + i, metric="revenue", subject=None, unit="percent" if i else "INR") for i in range(3)]
+    feats = features(spark.createDataFrame(rows, FACT))
+    key = lambda df: sorted((r.left_id, r.right_id, round(r.score, 9)) for r in df.collect())
+    whole = key(candidate_pairs(feats, cap=1000))
+    assert len(key(candidate_pairs(feats, cap=3))) < len(whole) == 66 + 12 + 1
+    assert key(candidate_pairs(feats, cap=None)) == whole
+    assert key(candidate_pairs(feats, threshold=0.2, cap=None)) == key(candidate_pairs(feats, threshold=0.2, cap=1000))
+    assert {tuple(r) for r in candidate_ids(feats, cap=None).collect()} == {tuple(r) for r in candidate_ids(feats, cap=1000).collect()}
+    new = spark.createDataFrame([("f000",)], "fact_id string")
+    assert key(candidate_pairs(feats, cap=None, new_ids=new)) == key(candidate_pairs(feats, cap=1000, new_ids=new))
