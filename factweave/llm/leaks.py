@@ -160,22 +160,33 @@ def _trimmed(s: list[tuple[int, int]], marked: set[int], ws: list[int]) -> list[
 
 
 def verify(ids: list[int], at: list[int], item: int, items: Items, share: float = SHARE, marked_share: float = MARKED_SHARE, gap: int = GAP) -> tuple[int, list[tuple[int, int]]] | None:
-    """(matched words, token spans) of the best one or two stretches, or None if the document is no case."""
+    """(matched words, token spans) or None if the document is no case.
+
+    The best one or two stretches decide and are the words that match; the spans are of all stretches of the item, further copies
+    and parts among them.
+    """
     places, ws = items.places[item], items.ids[item]
     stretches: list[list[tuple[int, int]]] = []
+    ranges: list[tuple[int, int]] = []
     lo = at[0]
     for k, p in enumerate(at):
         if k + 1 == len(at) or at[k + 1] - p > gap:
             first = max(lo - gap, stretches[-1][-1][0] + 1 if stretches else 0)
-            stretches += _dense(common_places(ids, max(0, first), min(len(ids), p + items.n + gap), places), gap)
+            ranges.append((max(0, first), min(len(ids), p + items.n + gap)))
+            stretches += _dense(common_places(ids, *ranges[-1], places), gap)
             lo = at[k + 1] if k + 1 < len(at) else lo
-    kept = []
-    for s in (_trimmed(x, items.marked, ws) for x in stretches):
-        got = {q for _, q in s}
-        inside = [q for q in range(s[0][1], s[-1][1] + 1) if ws[q] in items.marked]
-        held = sum(q in got for q in inside)
-        if len(s) >= items.n and inside and held >= marked_share * len(inside):
-            kept.append(s)
+
+    def worth(found: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+        out = []
+        for s in (_trimmed(x, items.marked, ws) for x in found):
+            got = {q for _, q in s}
+            inside = [q for q in range(s[0][1], s[-1][1] + 1) if ws[q] in items.marked]
+            held = sum(q in got for q in inside)
+            if len(s) >= items.n and inside and held >= marked_share * len(inside):
+                out.append(s)
+        return out
+
+    kept = worth(stretches)
     best: tuple[int, list] | None = None
     for i, s in enumerate(kept):
         for other in [None, *kept[i + 1 :]]:
@@ -186,7 +197,27 @@ def verify(ids: list[int], at: list[int], item: int, items: Items, share: float
                 best = (n, [s] + ([other] if other else []))
     if best is None or best[0] < share * len(ws):
         return None
-    return best[0], [(s[0][0], s[-1][0] + 1) for s in best[1]]
+    spans = [(s[0][0], s[-1][0] + 1) for s in kept]
+    # a common subsequence holds one copy of the item: what it leaves of its range is looked at again
+    todo = _gaps(ranges, spans, items.n)
+    while todo:
+        more = [(s[0][0], s[-1][0] + 1) for r in todo for s in worth(_dense(common_places(ids, *r, places), gap))]
+        todo = _gaps([r for r in todo if any(r[0] <= a < r[1] for a, _ in more)], more, items.n)
+        spans += more
+    return best[0], sorted(spans)
+
+
+def _gaps(ranges: list[tuple[int, int]], spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """What the spans leave of the ranges, in pieces of ``least`` tokens or more."""
+    out = []
+    for lo, hi in ranges:
+        for a, b in sorted(s for s in spans if s[0] < hi and s[1] > lo):
+            if a - lo >= least:
+                out.append((lo, a))
+            lo = max(lo, b)
+        if hi - lo >= least:
+            out.append((lo, hi))
+    return out
 
 
 def _char_spans(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]:

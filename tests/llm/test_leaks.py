@@ -46,6 +46,13 @@ def test_removal(spark):
     assert remove_leaks(docs, found, whole=True).count() == 5
 
 
+def test_removal_of_further_copies(spark):
+    docs, found = leaks(spark, docs=[(1, FILL + ITEM + " " + FILL * 3 + ITEM + " " + ITEM + " " + FILL * 3 + ITEM[150:], "x")])
+    clean = remove_leaks(docs, found).first().text
+    assert not any(w in clean for w in ("Sodronvik", "ferry", "Zamufox", "72456", "Badrat")) and clean.count(FILL.strip()) == 7
+    assert [r.matched for r in found.collect()] == [len(tokens(ITEM))]
+
+
 def test_empty_tables(spark):
     assert leaks(spark, docs=[])[1].count() == 0
     assert leaks(spark, items=[(1, None, "s")])[1].count() == 0
