@@ -5,8 +5,12 @@ document is looked up in it. Documents with hits are verified: around the hits t
 subsequence with the item is found, stretch by stretch, and a document is a case if one or two stretches
 in the item's order hold the wanted share of its words, its names and figures (two at least) among them.
 
+Names and figures are words of few passages of the whole test set; items that share most of their n-grams (several
+questions on one text, an item under other ids) are one passage. An item with fewer than two such words is verified by
+the share of its n-grams alone.
+
 The broadcast set is bounded: test items beyond ``block_chars`` characters are scanned in that many blocks,
-each broadcast by itself, so the result is the same for test sets of any size.
+each broadcast by itself, and words are counted before blocks are cut, so blocks don't change the result.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ NGRAM = 3
 SHARE, MARKED_SHARE = 1 / 3, 0.5
 #: Tokens between two hits of one stretch, at most.
 GAP = 12
+#: N-grams shared with a longer item from which an item is of its passage.
+SAME_PASSAGE = 0.6
 SCHEMA = "doc_id long, item_id long, matched int, item_words int, spans array<struct<start:int,stop:int>>"
 
 _TOKEN = re.compile("[a-z]+|\\d{1,3}(?:[,  ]\\d{2,3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?|[^\\W\\d_]+")
@@ -65,20 +71,42 @@ def token_numbers(text: str, get) -> list[int]:
     return [get(t, 0) for t in tokens(text)]
 
 
+def passage_marks(blocks: Iterable[list[tuple[int, str]]], n: int = NGRAM, same: float = SAME_PASSAGE) -> set[str]:
+    """The words of a whole test set that are names and figures: what few passages have, and in a small set also looks like one."""
+    items = sorted({tuple(ws): t for rows in blocks for _, t in rows if (ws := tokens(t or ""))}.items(), key=lambda x: (-len(x[0]), x[0]))
+    passages: list[set[str]] = []
+    owner: dict[int, set[int]] = defaultdict(set)
+    named: set[str] = set()
+    for ws, text in items:
+        named |= {plain(w) for w in re.findall(r"(?<![.?!] )(?<!^)\b[^\W\d_]+", text) if w[0].isupper()}
+        grams = {hash(ws[p : p + n]) for p in range(len(ws) - n + 1)}
+        shared = Counter(k for g in grams for k in owner.get(g, ()))
+        k, held = max(shared.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        if not grams or held < same * len(grams):
+            k = len(passages)
+            passages.append(set())
+        passages[k].update(ws)
+        for g in grams:
+            owner[g].add(k)
+    seen = Counter(w for p in passages for w in p)
+    rare = max(2, math.ceil(0.01 * len(passages)))
+    return {w for w, c in seen.items() if c <= rare and (len(passages) >= 50 or w[0].isdigit() or w in named)}
+
+
 class Items:
-    """Test items as token numbers with the lookup tables of the scan."""
+    """Test items as token numbers with the lookup tables of the scan. ``marks`` are those of the whole test set, if this is a block of it."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int = NGRAM) -> None:
+    def __init__(self, rows: list[tuple[int, str]], n: int = NGRAM, marks: set[str] | None = None) -> None:
         self.n = n
         self.words = {i: tokens(t or "") for i, t in rows}
-        seen = Counter(w for ws in self.words.values() for w in set(ws))
+        seen = {w for ws in self.words.values() for w in ws}
         self.vocab = {w: k for k, w in enumerate(sorted(seen), 1)}
         self.base = len(self.vocab) + 1
-        rare = max(2, math.ceil(0.01 * len(self.words)))
-        #: Names and figures: what few items have, and in a small set of items also looks like one.
-        named = {plain(w) for _, t in rows for w in re.findall(r"(?<![.?!] )(?<!^)\b[^\W\d_]+", t or "") if w[0].isupper()}
-        self.marked = {self.vocab[w] for w, c in seen.items() if c <= rare and (len(self.words) >= 50 or w[0].isdigit() or w in named)}
+        marks = passage_marks([rows], n) if marks is None else marks
+        self.marked = {k for w, k in self.vocab.items() if w in marks}
         self.ids = {i: [self.vocab[w] for w in ws] for i, ws in self.words.items()}
+        #: Items without two names or figures.
+        self.plain = {i for i, ws in self.ids.items() if len(self.marked.intersection(ws)) < 2}
         self.places = {i: self._places(ws) for i, ws in self.ids.items()}
         grams: dict[int, list[int]] = defaultdict(list)
         for i, ws in self.ids.items():
@@ -182,7 +210,7 @@ def verify(ids: list[int], at: list[int], item: int, items: Items, share: float
             got = {q for _, q in s}
             inside = [q for q in range(s[0][1], s[-1][1] + 1) if ws[q] in items.marked]
             held = sum(q in got for q in inside)
-            if len(s) >= items.n and inside and held >= marked_share * len(inside):
+            if len(s) >= items.n and (item in items.plain or inside) and held >= marked_share * len(inside):
                 out.append(s)
         return out
 
@@ -197,6 +225,10 @@ def verify(ids: list[int], at: list[int], item: int, items: Items, share: float
                 best = (n, [s] + ([other] if other else []))
     if best is None or best[0] < share * len(ws):
         return None
+    if item in items.plain:
+        runs = sum((b[0] - a[0], b[1] - a[1]) == (items.n - 1, items.n - 1) for s in best[1] for a, b in zip(s, s[items.n - 1 :]))
+        if runs < share * (len(ws) - items.n + 1):
+            return None
     spans = [(s[0][0], s[-1][0] + 1) for s in kept]
     # a common subsequence holds one copy of the item: what it leaves of its range is looked at again
     todo = _gaps(ranges, spans, items.n)
@@ -263,7 +295,7 @@ def scan(batches: Iterator[pd.DataFrame], items: Items, share: float, marked_sha
                     by_item[i].append(p)
                     if mark:
                         named[i] |= mark
-            for i in sorted(i for i, m in named.items() if len(m) >= 2):
+            for i in sorted({i for i, m in named.items() if len(m) >= 2} | items.plain.intersection(by_item)):
                 if (case := verify(ws, by_item[i], i, items, share, marked_share, gap)) is not None:
                     out.append((ids[d], i, case[0], len(items.ids[i]), _char_spans(texts[d], case[1])))
         yield pd.DataFrame(out, columns=columns)
@@ -279,10 +311,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE,
     known = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     blocks = max(1, math.ceil((known.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("text IS NOT NULL")
+    block = lambda b: [tuple(r) for r in known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
+    marks = passage_marks(map(block, range(blocks)), n) if blocks > 1 else None
     out = None
     for b in range(blocks):
-        rows = [tuple(r) for r in known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        shared = spark.sparkContext.broadcast(Items(rows, n))
+        shared = spark.sparkContext.broadcast(Items(block(b), n, marks))
         part = texts.mapInPandas(lambda batches, s=shared: scan(batches, s.value, share, marked_share, gap), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out

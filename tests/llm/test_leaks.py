@@ -53,6 +53,23 @@ def test_removal_of_further_copies(spark):
     assert [r.matched for r in found.collect()] == [len(tokens(ITEM))]
 
 
+def test_items_that_share_a_passage(spark):
+    docs = [d for d in DOCS[:7] if d[0] != 5]  # a text of the same pattern, whose words are rare among these items
+    asked = ["How many bicycles crossed?", "Who audited the ledger?", "Which year was it?", "Where was the stamp issued?", "Name the trust."]
+    items = [(k, f"{ITEM} {q}", "s") for k, q in enumerate(asked)] + [(k, ITEM, "s") for k in range(10, 13)]
+    items += [(100 + k, f"The clerk in town{k}x of shire{k}x wrote {7000 + k} letters to lord{k}x and kept {100 + k} copies of each.", "s") for k in range(60)]
+    key = lambda df: sorted((r.doc_id, r.item_id, r.matched) for r in df.collect())
+    whole = key(leaks(spark, docs=docs, items=items)[1])
+    assert {(d, i) for d, i, _ in whole} == {(d, i) for d in (1, 2, 3, 4) for i in (*range(5), *range(10, 13))}
+    assert whole == key(leaks(spark, docs=docs, items=items, block_chars=2000)[1])
+
+
+def test_items_without_names_go_by_their_ngrams(spark):
+    item = "the small boat came back to the shore before the storm and the people on the shore were glad to see it again"
+    docs = [(1, FILL + item + ". " + FILL, "x"), (2, FILL * 2 + "the boat and the people came to the shore", "x")]
+    assert [(r.doc_id, r.item_id) for r in leaks(spark, docs=docs, items=[(5, item, "s")])[1].collect()] == [(1, 5)]
+
+
 def test_empty_tables(spark):
     assert leaks(spark, docs=[])[1].count() == 0
     assert leaks(spark, items=[(1, None, "s")])[1].count() == 0
