@@ -4,7 +4,7 @@ Sizes come from a public tokenizer, whose vocabulary file is a parameter and is
 The shares come from capped water-filling: a source that can't supply its share even at its cap is clamped
 there, what it lacks is spread over the others in proportion to their targets, and so on until none is over. The
 plan has one row a source. Documents are then drawn by seeded hash: whole repetitions, and a fraction of one
-more decided document by document.
+more decided document by document. The actual shares are those of the tokens of the documents drawn.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.session import cut
+
+#: The seed of the draw, whose shares the plan reports.
+SEED = 7
 #: The package whose folder holds the vocabulary files; ``FACTWEAVE_VOCABULARY`` or an argument names another file.
 VOCABULARY = ("public_tokenizers", "byte_bpe_50k.tiktoken")
 #: How the tokenizer's words are cut before merging: a fixed value of the vocabulary.
@@ -67,10 +71,19 @@ def source_key(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), r"(?U)[\s_\-]+", "_"), F.lit(""))
 
 
+def sized_documents(documents: DataFrame, source: str = "source", text: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(source_key, n_tokens, ``keep``) of every document that has a source."""
+    sized = count_tokens(documents.select(source_key(F.col(source)).alias("source_key"), F.col(text).alias("t"), *keep).where("source_key IS NOT NULL"), "t", path)
+    return sized.select("source_key", "n_tokens", *keep)
+
+
+def _sizes(sized: DataFrame) -> DataFrame:
+    return sized.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("tokens"))
+
+
 def source_sizes(documents: DataFrame, source: str = "source", text: str = "text", path: str | None = None) -> DataFrame:
     """(source_key, n_docs, tokens) of every source; documents without a source are left out."""
-    sized = count_tokens(documents.select(source_key(F.col(source)).alias("source_key"), F.col(text).alias("t")).where("source_key IS NOT NULL"), "t", path)
-    return sized.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("tokens"))
+    return _sizes(sized_documents(documents, source, text, path))
 
 
 def water_fill(targets: list[tuple[str, float, int, int]], total: float) -> dict[str, dict[str, float]]:
@@ -101,15 +114,30 @@ def water_fill(targets: list[tuple[str, float, int, int]], total: float) -> dict
     }
 
 
-def mixture_plan(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
-    """One row a target source: source, target_share, max_repeats, n_docs, tokens, wanted, given, repeats, actual_share, short.
+def mixture_plan(documents: DataFrame, targets: DataFrame, path: str | None = None, seed: int = SEED) -> DataFrame:
+    """``planned_mixture`` with drawn, the tokens of the documents that ``draw`` takes with this seed, and actual_share, their share of the mix."""
+    sized = cut(sized_documents(documents, path=path, keep=("doc_id",)), costly=True)
+    plan = cut(planned_mixture(sized, targets))
+    used = draw(sized.withColumnRenamed("source_key", "source"), plan, seed, keep=("n_tokens",))
+    drawn = used.groupBy("source_key").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("drawn"))
+    # one row a target source
+    whole = plan.join(F.broadcast(drawn), "source_key", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
+    mixed = whole.agg(F.sum("drawn").alias("mixed"))
+    out = whole.crossJoin(F.broadcast(mixed)).withColumn("actual_share", F.coalesce(F.try_divide(F.col("drawn"), F.col("mixed")), F.lit(0.0)))
+    return out.select(*plan.columns[:-1], "drawn", "actual_share", "short")
+
+
+def planned_mixture(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row a target source: source, source_key, target_share, max_repeats, n_docs, tokens, wanted, given, repeats, planned_share, short.
+
+    ``sized`` is of ``sized_documents``.
 
     The mix is as large as all documents that have a source. A target without documents is short (if its share
     is above nought), a source without a target gets nothing. Both inputs of the plan have one row a target, a
     list that people write; it is refused beyond 10,000 rows.
     """
-    spark = documents.sparkSession
-    sizes = source_sizes(documents, path=path)
+    spark = sized.sparkSession
+    sizes = _sizes(sized)
     wanted = targets.groupBy(source_key(F.col("source")).alias("source_key")).agg(F.min("source").alias("source"), F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     both = sizes.withColumn("all_tokens", F.lit(None).cast("long")).select("source_key", "n_docs", "tokens").join(wanted, "source_key", "full")
     flat = both.withColumn("kept", F.col("source").isNotNull()).groupBy(F.when(F.col("kept"), F.col("source_key")).alias("source_key")).agg(F.first("source").alias("source"), F.first("target_share").alias("target_share"), F.first("max_repeats").alias("max_repeats"), F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
@@ -125,17 +153,17 @@ def mixture_plan(documents: DataFrame, targets: DataFrame, path: str | None = No
         for r in known
         for p in [plan[r["source_key"]]]
     ]
-    return spark.createDataFrame(out, "source string, source_key string, target_share double, max_repeats int, n_docs long, tokens long, wanted double, given double, repeats double, actual_share double, short boolean")
+    return spark.createDataFrame(out, "source string, source_key string, target_share double, max_repeats int, n_docs long, tokens long, wanted double, given double, repeats double, planned_share double, short boolean")
 
 
-def draw(documents: DataFrame, plan: DataFrame, seed: int = 7, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, source_key, uses): how often each document is used, never more than its source's cap.
+def draw(documents: DataFrame, plan: DataFrame, seed: int = SEED, doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source_key, uses, ``keep``): how often each document is used, never more than its source's cap.
 
     ``repeats`` 2.4 means every document twice and four in ten once more, chosen by a seeded hash of the id, so the
     draw is the same on any cluster. The plan has one row a source (see ``mixture_plan``) and is broadcast.
     """
-    keyed = documents.select(F.col(doc_id).alias("doc_id"), source_key(F.col("source")).alias("source_key"))
+    keyed = documents.select(F.col(doc_id).alias("doc_id"), source_key(F.col("source")).alias("source_key"), *keep)
     coin = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     uses = F.floor("repeats") + F.when(coin < F.col("repeats") - F.floor("repeats"), 1).otherwise(0)
     planned = keyed.join(F.broadcast(plan.select("source_key", "repeats", "max_repeats")), "source_key")
-    return planned.select("doc_id", "source_key", F.least(uses, F.col("max_repeats").cast("long")).alias("uses")).where("uses > 0")
+    return planned.select("doc_id", "source_key", F.least(uses, F.col("max_repeats").cast("long")).alias("uses"), *keep).where("uses > 0")

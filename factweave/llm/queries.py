@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.components import connected_groups, latest_links
 from factweave.llm.leaks import find_leaks, remove_leaks
-from factweave.llm.mixture import draw, mixture_plan
+from factweave.llm.mixture import draw, mixture_plan, planned_mixture, sized_documents
 from factweave.llm.names import variants
 from factweave.llm.subjects import subject_areas
 from factweave.plans.registry import Registry
@@ -53,12 +53,12 @@ def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
 @llm.query("p7_found")
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Target sources that can't supply their share of a mix as large as the corpus."""
-    return mixture_plan(table(spark, sf, "documents"), table(spark, sf, "source_targets")).where("short").select("source")
+    return planned_mixture(sized_documents(table(spark, sf, "documents")), table(spark, sf, "source_targets")).where("short").select("source")
 
 
 @llm.query("p7_plan")
 def p7_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes, given tokens, repeats and actual share of each target source."""
+    """Sizes, given tokens, repeats, planned share and share actually drawn of each target source."""
     return mixture_plan(table(spark, sf, "documents"), table(spark, sf, "source_targets"))
 
 
@@ -66,7 +66,7 @@ def p7_plan(spark: SparkSession, sf: str) -> DataFrame:
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     """How often each document is used in the mix."""
     documents = table(spark, sf, "documents")
-    return draw(documents, mixture_plan(documents, table(spark, sf, "source_targets")))
+    return draw(documents, planned_mixture(sized_documents(documents), table(spark, sf, "source_targets")))
 
 
 @llm.query("p4_found")

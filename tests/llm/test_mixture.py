@@ -60,6 +60,23 @@ def test_plan_and_draw(spark):
             assert sum(mine) / r.n_docs == pytest.approx(r.repeats, abs=0.15)
 
 
+def test_actual_share_is_of_drawn_documents(spark):
+    docs = [(i, "word " * (4000 if i == 0 else 10), "annual report", "c") for i in range(40)] + [(100 + i, "word " * (3000 if i == 0 else 10), "news wire", "c") for i in range(40)]
+    d, _ = frames(spark, docs)
+    t = spark.createDataFrame([("annual report", 0.2, 1), ("news wire", 0.8, 4)], "source string, target_share double, max_repeats int")
+    apart = []
+    for seed in (1, 7):
+        plan = mixture_plan(d, t, seed=seed)
+        uses = {r.doc_id: r.uses for r in draw(d, plan, seed=seed).collect()}
+        sizes = {r.doc_id: (r.source, r.n_tokens * uses.get(r.doc_id, 0)) for r in count_tokens(d, "text").collect()}
+        total = sum(n for _, n in sizes.values())
+        for r in plan.where("n_docs > 0").collect():
+            assert r.drawn == sum(n for s, n in sizes.values() if s.replace(" ", "_") == r.source_key)
+            assert r.actual_share == pytest.approx(r.drawn / total) and r.planned_share == pytest.approx(r.given / sum(x.given for x in plan.collect()))
+        apart += [abs(r.actual_share - r.planned_share) for r in plan.collect()]
+    assert max(apart) > 0.05
+
+
 def test_empty(spark):
     d, t = frames(spark, [])
     plan = mixture_plan(d, t)
