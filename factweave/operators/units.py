@@ -3,8 +3,9 @@
 Conversions are edges of a graph: an affine function (scale, offset) from one unit to another. The driver
 composes them along shortest paths from every unit to every common unit it can reach, checks that all cycles
 agree, and the result is a small fixed table. On the data a quantity's parts are read with built-in
-expressions, its unit spelling is looked up in the alias table, and one equi-join on (source unit, canonical
-target) brings the factor. Both tables are built from the constants below, never from data, so their size is fixed.
+expressions, its unit's spelling brings the source unit and the canonical target that this unit is stated in, and
+an equi-join on (source unit, canonical target) brings scale and offset. Both tables are built from the constants below,
+never from data, so their size is fixed.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ CONVERSIONS: tuple[tuple[str, str, float, float], ...] = (
     ("minute", "hour", 1 / 60, 0.0),
     ("hour", "day", 1 / 24, 0.0),
     ("week", "day", 7.0, 0.0),
+    ("fahrenheit", "celsius", 5 / 9, -160 / 9),
+    ("celsius", "kelvin", 1.0, 273.15),
 )
 
 #: Spellings of each unit, lower case, without dots.
@@ -68,6 +71,9 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "hour": ("hours", "hour", "hrs", "hr"),
     "minute": ("minutes", "minute", "mins"),
     "week": ("weeks", "week"),
+    "celsius": ("degrees celsius", "celsius", "°c"),
+    "fahrenheit": ("degrees fahrenheit", "fahrenheit", "°f"),
+    "kelvin": ("kelvin",),
     "count": ("count", "number", "nos", "units"),
 }
 
@@ -123,12 +129,17 @@ def compositions(edges=CONVERSIONS, targets: tuple[str, ...] | None = None, tole
 
 
 def _alternatives(words) -> str:
-    """The words as a pattern, longest first; a letter may not follow or precede a word that ends in one."""
-    parts = []
+    """The words as a pattern, longest first; a letter may not follow or precede a word that ends in one.
+
+    Words of one first letter stand together: at any place only those can match, and the others cost one look.
+    """
+    by_first: dict[str, list[str]] = {}
     for w in sorted(words, key=len, reverse=True):
-        p = re.escape(w).replace(r"\ ", r"\s+")
-        parts.append((r"(?<![a-z])" if w[0].isalpha() else "") + p + (r"(?![a-z])" if w[-1].isalpha() else ""))
-    return "|".join(parts)
+        by_first.setdefault(w[0], []).append(re.escape(w[1:]).replace(r"\ ", r"\s+") + (r"(?![a-z])" if w[-1].isalpha() else ""))
+    parts = [re.escape(c) + "(?:" + "|".join(rest) + ")" for c, rest in by_first.items()]
+    letters = [p for c, p in zip(by_first, parts) if c.isalpha()]
+    others = [p for c, p in zip(by_first, parts) if not c.isalpha()]
+    return "|".join([r"(?<![a-z])(?:" + "|".join(letters) + ")", *others])
 
 
 _UNITS = [a for names in ALIASES.values() for a in names]
@@ -136,6 +147,9 @@ _MAG = _alternatives(MAGNITUDES)
 _UNIT = _alternatives(_UNITS)
 _MONEY = _alternatives(a for u in ("INR", "USD", "EUR", "GBP") for a in ALIASES[u])
 _SPACE = r"[\s\u00a0\u2007\u2009\u202f]"
+#: Stand for the value, for the measure's words and for the place of the value, in a quote whose own text never holds them.
+_VALUE, _MEASURE, _HERE = "\x01", "\x02", "\x03"
+_AFTER = _VALUE + rf"(?![\d{_VALUE}]|[.,][\d{_VALUE}])"
 
 
 def _lookup(key: Column, table: dict[str, float]) -> Column:
@@ -147,8 +161,26 @@ def _some(c: Column) -> Column:
 
 
 def _tidy(c: Column) -> Column:
-    """Lower case, one plain space for any run of white space; null stays null."""
-    return F.lower(F.trim(F.regexp_replace(c, _SPACE + "+", " ")))
+    """Lower case, one plain space for any run of white space and control characters; null stays null."""
+    odd = r"[\x00-\x1f\x7f-\xa0     ]|  "
+    return F.lower(F.trim(F.when(c.rlike(odd), F.regexp_replace(c, r"[\s\x00-\x1f\x7f-\xa0     ]+", " ")).otherwise(c)))
+
+
+def _number_text(raw: Column) -> Column:
+    """A printed value without group marks that are spaces and without ``'000``."""
+    return F.regexp_replace(F.regexp_replace(raw, r"(?<!\d)['’]000s?", ""), r"(?<=\d)[    '’](?=\d{3}(?!\d))", "")
+
+
+_NUMBERS, _NEGATIVE = r"(\d[\d.,]*)", r"[(][^)]*\d[^)]*[)]|(?:^|[^\d\w])[-−–]\s*[^\d\w]{0,3}\s*\d|^[^\d]*[-−–][^\d]*\d"
+
+
+def _only(numbers: Column) -> Column:
+    """The one number found, without group marks; null if there are several or none."""
+    return F.when(F.size(numbers) == 1, F.regexp_replace(F.regexp_replace(numbers[0], r"[.,]+$", ""), ",", ""))
+
+
+def _signed(one: Column, t: Column) -> Column:
+    return F.when(~one.rlike(r"\..*\."), one.try_cast("double")) * F.when(t.rlike(_NEGATIVE), -1.0).otherwise(1.0)
 
 
 def read_number(raw: Column) -> Column:
@@ -157,88 +189,117 @@ def read_number(raw: Column) -> Column:
     Groups may be set off by commas, thin or no-break spaces or plain ones; brackets round the number or a leading minus of either
     kind make it negative. More than one number, more than one decimal point, or none is null.
     """
-    t = F.regexp_replace(F.regexp_replace(raw, r"(?<!\d)['\u2019]000s?", ""), r"(?<=\d)[ \u00a0\u2009\u202f'\u2019](?=\d{3}(?!\d))", "")
-    numbers = F.regexp_extract_all(t, F.lit(r"(\d[\d.,]*)"), F.lit(1))
-    one = F.regexp_replace(F.regexp_replace(numbers[0], r"[.,]+$", ""), ",", "")
-    negative = t.rlike(r"[(][^)]*\d[^)]*[)]") | t.rlike(r"(^|[^\d\w])[-−–]\s*[^\d\w]{0,3}\s*\d") | t.rlike(r"^[^\d]*[-−–][^\d]*\d")
-    value = F.when((F.size(numbers) == 1) & ~one.rlike(r"\..*\."), one.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+    t = _number_text(raw)
+    return _signed(_only(F.regexp_extract_all(t, F.lit(_NUMBERS), F.lit(1))), t)
+
+
+def _placed(quote: Column, raw: Column, measure: Column | None) -> Column:
+    """The quote with ``_HERE`` in place of the value, or without it where it does not hold the value.
+
+    The value must stand by itself: no longer number, no fiscal year or quarter of the same digits. Where the measure's own words come
+    right before a value ("... of ₹ 5"), that is the place. The value is put in as one character first, so that the patterns are
+    the same for all rows and are made ready once.
+    """
+    valued = F.replace(quote, raw, F.lit(_VALUE))
+    if measure is not None:
+        lead = rf"(?s)^(.*?{_MEASURE} of [^\d\s{_VALUE}]{{0,4}} ?[^\d\s{_VALUE}]{{0,2}}){_AFTER}(.*)$"
+        led = F.regexp_replace(F.replace(F.replace(quote, measure, F.lit(_MEASURE)), raw, F.lit(_VALUE)), lead, f"$1{_HERE}$2")
+        leads = F.contains(quote, F.concat(measure, F.lit(" of "))) & (F.length(measure) > 0)
+        valued = F.when(leads, F.replace(led, F.lit(_MEASURE), measure)).otherwise(valued)
+    first = rf"(?s)^([^{_HERE}]*?(?<![\d{_VALUE}])(?<![\d{_VALUE}][.,])(?<!\b(?:fy|q|h))){_AFTER}([^{_HERE}]*)$"
+    whole = F.replace(F.regexp_replace(valued, first, f"$1{_HERE}$2"), F.lit(_VALUE), raw)
+    return F.when((F.length(raw) > 0) & F.contains(quote, raw), whole).otherwise(F.lit(""))
 
 
 def read_quantity(df: DataFrame, raw: str, magnitude: str, unit: str, quote: str, measure: str | None = None) -> DataFrame:
-    """Adds ``__q_number``, ``__q_factor`` and ``__q_alias`` (a spelling in ``ALIASES``, or null).
+    """Adds ``__q_number``, ``__q_factor`` and ``__q_alias`` (a spelling in ``ALIASES``, or "").
 
     What stands closest to the value counts first: its own fields, then the printed value itself, then the
     quote right before and after the value, then a note in the quote such as ``(₹ in crores)`` or
     ``amounts in millions of INR:``.
-    Nouns that are no unit of measure (``gateways``) are things counted.
+    Nouns that are no unit of measure (``gateways``) are things counted. The quote is read as a whole. The steps are columns of
+    their own, so that none is worked out once for each use.
     """
-    col = F.col
+    col, kept = F.col, df.columns
+    df = df.withColumns({"__raw": _tidy(col(raw)), "__mag": F.regexp_replace(_tidy(col(magnitude)), r"\.$", ""), "__unit": _tidy(col(unit)), "__quote": _tidy(col(quote)), "__measure": _tidy(col(measure)) if measure is not None else F.lit("")})
+    note = r"(?:[(\[]|amounts )([^()\[\]:\d]*(?:" + _MAG + "|" + _MONEY + r")[^()\[\]:\d]*)[)\]:]"
     df = df.withColumns(
         {
-            "__raw": _tidy(col(raw)),
-            "__mag": F.regexp_replace(_tidy(col(magnitude)), r"\.$", ""),
-            "__unit": _tidy(col(unit)),
-            "__quote": _tidy(col(quote)),
+            "__t": _number_text(col("__raw")),
+            "__in": F.split(_placed(col("__quote"), col("__raw"), col("__measure") if measure is not None else None), _HERE),
+            "__head": F.when(col("__quote").rlike(r"[(\[]|amounts "), F.regexp_extract(F.replace(col("__quote"), F.lit("'000"), F.lit("thousand")), note, 1)).otherwise(F.lit("")),
         }
     )
-    literal = F.regexp_replace(col("__raw"), r"\\E", "")
-    ends = F.lit(r"\E(?!\d|[.,]\d)")
-    found = F.regexp_instr(col("__quote"), F.concat(F.lit(r"(?<!\d)(?<!\d[.,])(?<!\b(?:fy|q|h))\Q"), literal, ends))
-    if measure is not None:  # where the measure's own words come right before the value, that is the place
-        led = F.concat(F.lit(r"(?<=\Q"), F.regexp_replace(_tidy(col(measure)), r"\\E", ""), F.lit(r"\E of [^\d\s]{0,4} ?[^\d\s]{0,2})\Q"), literal, ends)
-        led = F.when(_tidy(col(measure)) != "", F.regexp_instr(col("__quote"), led))
-        found = F.when(led > 0, led).otherwise(found)
-    df = df.withColumn("__at", F.when(F.length("__raw") > 0, found))
+    df = df.withColumns({"__numbers": F.regexp_extract_all("__t", F.lit(_NUMBERS), F.lit(1)), "__after": F.try_element_at("__in", F.lit(2)), "__before": F.when(F.size("__in") > 1, col("__in")[0])})
+    # the unit right before the value, and scale and unit right after it
+    lead = r"(" + _UNIT + r")\.?\s*[(−–-]?\s*$"
+    tail = r"(?s)^[\s)]*(?:(" + _MAG + r")\.?)?\s*(" + _UNIT + r")?.*$"
+    word = lambda c, p: F.regexp_extract(col(c), "(" + p + ")", 1)
     df = df.withColumns(
         {
-            "__before": F.when(col("__at") > 0, F.substring(col("__quote"), F.greatest(F.lit(1), col("__at") - 20), F.least(F.lit(20), col("__at") - 1))),
-            "__after": F.when(col("__at") > 0, F.substring(col("__quote"), col("__at") + F.length("__raw"), F.lit(48))),
-            "__head": F.regexp_extract(F.regexp_replace(col("__quote"), "'000", "thousand"), r"(?:[(\[]|amounts )([^()\[\]:\d]*(?:" + _MAG + "|" + _MONEY + r")[^()\[\]:\d]*)[)\]:]", 1),
+            "__one": _only(col("__numbers")),
+            "__tail": F.split(F.regexp_replace("__after", tail, f"$1{_HERE}$2"), _HERE),
+            "__m_unit": word("__unit", _MAG),
+            "__m_raw": word("__raw", _MAG),
+            "__m_head": word("__head", _MAG),
+            "__u_unit": F.when(~col("__unit").isin("count", "units", "number", "nos"), word("__unit", _UNIT)),
+            "__u_raw": word("__raw", _UNIT),
+            "__u_before": F.regexp_extract("__before", lead, 1),
+            "__u_head": word("__head", _UNIT),
         }
     )
-    tail = r"^" + r"[\s)]*(?:(" + _MAG + r")\.?)?\s*(" + _UNIT + r")?"
-    lead = r"(" + _UNIT + r")\.?\s*[(−–-]?\s*$"
-    in_unit, in_raw, in_head = (F.regexp_extract(col(c), "(" + _MAG + ")", 1) for c in ("__unit", "__raw", "__head"))
-    factor_word = F.coalesce(_some(col("__mag")), _some(in_unit), _some(in_raw), _some(F.regexp_extract(col("__after"), tail, 1)), _some(in_head))
     noun = F.when(F.length(F.regexp_replace(F.regexp_replace(col("__unit"), "(" + _MAG + r")\.?|\bin\b|[().]", ""), r"\s+", "")) > 1, F.lit("count"))
-    unit_word = F.coalesce(
-        F.when(~col("__unit").isin("count", "units", "number", "nos"), _some(F.regexp_extract(col("__unit"), "(" + _UNIT + ")", 1))),
-        _some(F.regexp_extract(col("__raw"), "(" + _UNIT + ")", 1)),
-        noun,
-        _some(F.regexp_extract(col("__before"), lead, 1)),
-        _some(F.regexp_extract(col("__after"), tail, 2)),
-        _some(F.regexp_extract(col("__head"), "(" + _UNIT + ")", 1)),
-        F.when(col("__after").rlike(r"^[\s)]*(?:(?:" + _MAG + r")\.?)?\s*[a-z]"), F.lit("count")),
-    )
-    return df.withColumns(
+    thing = F.when(col("__after").rlike(r"^[\s)]*(?:(?:" + _MAG + r")\.?)?\s*[a-z]"), F.lit("count"))
+    df = df.withColumns(
         {
-            "__q_number": read_number(col("__raw")),
-            "__q_factor": F.coalesce(_lookup(factor_word, MAGNITUDES), F.lit(1.0)),
-            "__q_alias": F.regexp_replace(unit_word, r"\s+", " "),
+            "__q_number": _signed(col("__one"), col("__t")),
+            "__scale": F.coalesce(*[_some(c) for c in (col("__mag"), col("__m_unit"), col("__m_raw"), col("__tail")[0], col("__m_head"))]),
+            "__word": F.coalesce(_some(col("__u_unit")), _some(col("__u_raw")), noun, _some(col("__u_before")), _some(F.try_element_at("__tail", F.lit(2))), _some(col("__u_head")), thing, F.lit("")),
         }
-    ).drop("__raw", "__mag", "__unit", "__quote", "__at", "__before", "__after", "__head")
+    )
+    return df.select(*kept, "__q_number", F.coalesce(_lookup(col("__scale"), MAGNITUDES), F.lit(1.0)).alias("__q_factor"), F.regexp_replace("__word", r"\s+", " ").alias("__q_alias"))
+
+
+def canonical_targets(wanted: list[str], edges=CONVERSIONS) -> list[tuple[str, str, str]]:
+    """(alias, source unit, canonical target) of every spelling whose unit reaches one of the wanted units.
+
+    Units that convert into each other are one dimension and are all stated in one unit; where several of a dimension are wanted it is
+    the first of them by name.
+    """
+    target: dict[str, str] = {}
+    for s, t, _, _, _ in compositions(edges, tuple(ALIASES)):
+        if t in wanted:
+            target[s] = min(t, target.get(s, t))
+    return [(alias, s, t) for s, t in target.items() for alias in ALIASES.get(s, ())]
+
+
+def wanted_units(targets: DataFrame, edges=CONVERSIONS) -> list[str]:
+    """The units named by a table of common units, those that the graph knows (a bounded list whatever the table)."""
+    known = {t for e in compositions(edges, tuple(ALIASES)) for t in e[:2]}
+    return [r["common_unit"] for r in targets.where(F.col("common_unit").isin(*sorted(known))).select("common_unit").distinct().collect()]
 
 
-def conversion_table(spark, targets: DataFrame, edges=CONVERSIONS) -> DataFrame:
-    """(alias, source_unit, common_unit, scale, offset): at most one row for each alias and reachable common unit."""
-    rows = compositions(edges, tuple(ALIASES))
-    table = [(alias, s, t, a, b) for s, t, a, b, _ in rows for alias in ALIASES.get(s, ())]
-    all_targets = spark.createDataFrame(table, "alias string, source_unit string, target string, scale double, offset double")
-    return all_targets.join(targets.select(F.col("common_unit").alias("target")).distinct(), "target").withColumnRenamed("target", "common_unit")
+def conversion_table(spark, wanted: list[str], edges=CONVERSIONS) -> DataFrame:
+    """(source_unit, common_unit, scale, offset): the shortest composition from every unit to each wanted unit that it reaches."""
+    rows = [(s, t, a, b) for s, t, a, b, _ in compositions(edges, tuple(ALIASES)) if t in wanted]
+    return spark.createDataFrame(rows, "source_unit string, common_unit string, scale double, offset double")
 
 
 def to_common_units(df: DataFrame, targets: DataFrame, raw: str, magnitude: str, unit: str, quote: str, measure: str | None = None, edges=CONVERSIONS) -> DataFrame:
     """``df`` with ``common_value`` and ``common_unit``; both null where the value or its unit can't be read.
 
-    The conversion table has a few hundred rows at most (the constants above), which is why it may be broadcast.
+    The unit's spelling brings source unit and canonical target, an equi-join on both brings the conversion, so a row comes out once whatever the
+    targets. Both tables have a few hundred rows at most (the constants above), which is why they may be broadcast.
     A null in any part counts as absent, repeated rows stay, extra columns are kept whatever their
     names (but former ``common_value`` and ``common_unit`` are replaced), an empty table stays empty.
     """
+    spark, wanted = df.sparkSession, wanted_units(targets, edges)
     kept = [c for c in df.columns if c not in ("common_value", "common_unit")]
     read = read_quantity(df.select(*kept), raw, magnitude, unit, quote, measure)
-    table = conversion_table(df.sparkSession, targets, edges).select(F.col("alias").alias("__alias"), F.col("common_unit").alias("__to"), F.col("scale").alias("__scale"), F.col("offset").alias("__offset"))
-    joined = read.join(F.broadcast(table), F.col("__q_alias") == F.col("__alias"), "left")
+    named = spark.createDataFrame(canonical_targets(wanted, edges), "__alias string, __unit string, __to string")
+    conversions = conversion_table(spark, wanted, edges).toDF("__source", "__target", "__scale", "__offset")
+    placed = read.join(F.broadcast(named), F.col("__q_alias") == F.col("__alias"), "left")
+    joined = placed.join(F.broadcast(conversions), (F.col("__unit") == F.col("__source")) & (F.col("__to") == F.col("__target")), "left")
     value = F.col("__q_number") * F.col("__q_factor") * F.col("__scale") + F.col("__offset")
     return joined.select(*kept, value.alias("common_value"), F.when(value.isNotNull(), F.col("__to")).alias("common_unit"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators.intervals import periods_and_gaps
 from factweave.operators.skew import heavy_keys, key_profile
-from factweave.operators.units import compositions, conversion_table, misstated, to_common_units
+from factweave.operators.units import ALIASES, CONVERSIONS, conversion_table, misstated, to_common_units, wanted_units
 from factweave.plans.registry import Registry
 from factweave.session import table
 
@@ -104,8 +104,19 @@ def p5_values(spark: SparkSession, sf: str) -> DataFrame:
     return _quantities(spark, sf).where("common_unit IS NOT NULL").select("fact_id", "common_value", "common_unit").distinct()
 
 
-@general.query("p5_conversions")
+P5_CONVERSIONS_SQL = f"""
+WITH RECURSIVE edges(s, t, a, b) AS (VALUES {", ".join(f"('{s}', '{t}', {a!r}::DOUBLE, {b!r}::DOUBLE)" for s, t, a, b in CONVERSIONS)}),
+steps AS (SELECT * FROM edges UNION ALL SELECT t, s, 1 / a, -b / a FROM edges),
+units AS (SELECT s AS u FROM steps UNION SELECT unnest([{", ".join(f"'{u}'" for u in ALIASES)}])),
+walk(s, t, a, b, n) AS (SELECT u, u, 1.0::DOUBLE, 0.0::DOUBLE, 0 FROM units
+  UNION SELECT w.s, e.t, e.a * w.a, e.a * w.b + e.b, w.n + 1 FROM walk w JOIN steps e ON e.s = w.t WHERE w.n < 6 AND e.t <> w.s)
+SELECT s AS source_unit, t AS common_unit, round(arg_min(a, n), 12) AS scale, round(arg_min(b, n), 9) AS "offset"
+FROM walk JOIN (SELECT DISTINCT common_unit FROM common_units) ON common_unit = t GROUP BY s, t
+"""
+
+
+@general.query("p5_conversions", P5_CONVERSIONS_SQL)
 def p5_conversions(spark: SparkSession, sf: str) -> DataFrame:
-    """The composed conversion table of the spellings that reach a common unit."""
-    compositions()
-    return conversion_table(spark, table(spark, sf, "common_units"))
+    """The shortest compositions from every unit to the common units that it reaches."""
+    out = conversion_table(spark, wanted_units(table(spark, sf, "common_units")))
+    return out.select("source_unit", "common_unit", F.round("scale", 12).alias("scale"), F.round("offset", 9).alias("offset"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators.units import CONVERSIONS, InconsistentUnits, compositions, misstated, read_number, to_common_units
+from factweave.operators.units import CONVERSIONS, InconsistentUnits, canonical_targets, compositions, misstated, read_number, to_common_units
 
 COLS = "i int, raw string, magnitude string, unit string, quote string, canonical_value double, canonical_unit string, scale string"
 TARGETS = ["INR", "USD", "EUR", "GBP", "percent", "count", "tonne", "kWh", "km", "day"]
@@ -70,3 +70,27 @@ def test_graph():
 def test_empty(spark):
     facts, targets = frame(spark, [])
     assert to_common_units(facts.drop("scale"), targets, "raw", "magnitude", "unit", "quote").count() == 0
+
+
+def test_one_row_whatever_the_targets(spark):
+    facts, _ = frame(spark, [(1, "5", None, "bps", "5 bps", None, None, None), (2, "5", None, "kelvin", "5 kelvin", None, None, None)])
+    targets = spark.createDataFrame([("per_mille",), ("percent",), ("percent",), (None,), ("furlong",)], "common_unit string")
+    got = to_common_units(facts.drop("scale"), targets, "raw", "magnitude", "unit", "quote").collect()
+    assert sorted((r.i, r.common_value, r.common_unit) for r in got if r.common_unit) == [(1, pytest.approx(0.5), "per_mille")] and len(got) == 2
+    assert {t for _, _, t in canonical_targets(["percent", "per_mille"])} == {"per_mille"}
+
+
+def test_an_offset(spark):
+    facts, _ = frame(spark, [(1, "212", None, "°F", "212 °F", None, None, None), (2, "−40", None, "degrees Fahrenheit", "", None, None, None), (3, "100", None, None, "at 100 °C today", None, None, None)])
+    targets = spark.createDataFrame([("kelvin",)], "common_unit string")
+    got = {r.i: r.common_value for r in to_common_units(facts.drop("scale"), targets, "raw", "magnitude", "unit", "quote").collect()}
+    assert got == {1: pytest.approx(373.15), 2: pytest.approx(233.15), 3: pytest.approx(373.15)}
+
+
+def test_the_place_of_the_value(spark):
+    far = " and so on" * 40
+    rows = [("5", "FY25 15 5.5 0.5 5,000 (5 lakh tonnes)" + far, 5e5, "tonne"), ("5", "FY5 Q5", 5.0, None), ("5", "55 5 km", 5.0, "km"), ("2.5", "ticket size 2.5 hours; ticket size of Rs 2.5 crore", 2.5e7, "INR"), ("2.5", "2.5 hours; ticket size of ₹ 2.5 cr", 2.5e7, "INR"), ("5", far + " ₹ ( 5" + far, 5.0, "INR"), ("a\\E", "a\\E km", None, None), ("$1", "$1 \x01 \x03 mn", 1e6, "USD")]
+    facts = spark.createDataFrame([(i, r, None, None, q, "Ticket size") for i, (r, q, _, _) in enumerate(rows)], "i int, raw string, magnitude string, unit string, quote string, m string")
+    got = {r.i: (r.common_value, r.common_unit) for r in to_common_units(facts, spark.createDataFrame([(t,) for t in TARGETS], "common_unit string"), "raw", "magnitude", "unit", "quote", "m").collect()}
+    for i, (_, q, v, u) in enumerate(rows):
+        assert got[i] == ((pytest.approx(v), u) if u else (None, None)), q
