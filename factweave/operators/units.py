@@ -146,7 +146,8 @@ _UNITS = [a for names in ALIASES.values() for a in names]
 _MAG = _alternatives(MAGNITUDES)
 _UNIT = _alternatives(_UNITS)
 _MONEY = _alternatives(a for u in ("INR", "USD", "EUR", "GBP") for a in ALIASES[u])
-_SPACE = r"[\s\u00a0\u2007\u2009\u202f]"
+#: What a unit before a value can take up: the longest spelling, a dot, a sign, two blanks, and the letter that may not stand before it.
+_REACH = max(map(len, _UNITS)) + 5
 #: Stand for the value, for the measure's words and for the place of the value, in a quote whose own text never holds them.
 _VALUE, _MEASURE, _HERE = "\x01", "\x02", "\x03"
 _AFTER = _VALUE + rf"(?![\d{_VALUE}]|[.,][\d{_VALUE}])"
@@ -206,7 +207,7 @@ def _placed(quote: Column, raw: Column, measure: Column | None) -> Column:
         led = F.regexp_replace(F.replace(F.replace(quote, measure, F.lit(_MEASURE)), raw, F.lit(_VALUE)), lead, f"$1{_HERE}$2")
         leads = F.contains(quote, F.concat(measure, F.lit(" of "))) & (F.length(measure) > 0)
         valued = F.when(leads, F.replace(led, F.lit(_MEASURE), measure)).otherwise(valued)
-    first = rf"(?s)^([^{_HERE}]*?(?<![\d{_VALUE}])(?<![\d{_VALUE}][.,])(?<!\b(?:fy|q|h))){_AFTER}([^{_HERE}]*)$"
+    first = rf"(?s)^([^{_HERE}]*?)(?={_VALUE})(?<![\d{_VALUE}])(?<![\d{_VALUE}][.,])(?<!\b(?:fy|q|h)){_AFTER}([^{_HERE}]*)$"
     whole = F.replace(F.regexp_replace(valued, first, f"$1{_HERE}$2"), F.lit(_VALUE), raw)
     return F.when((F.length(raw) > 0) & F.contains(quote, raw), whole).otherwise(F.lit(""))
 
@@ -244,7 +245,7 @@ def read_quantity(df: DataFrame, raw: str, magnitude: str, unit: str, quote: str
             "__m_head": word("__head", _MAG),
             "__u_unit": F.when(~col("__unit").isin("count", "units", "number", "nos"), word("__unit", _UNIT)),
             "__u_raw": word("__raw", _UNIT),
-            "__u_before": F.regexp_extract("__before", lead, 1),
+            "__u_before": F.regexp_extract(F.substring(col("__before"), -_REACH, _REACH), lead, 1),
             "__u_head": word("__head", _UNIT),
         }
     )
