@@ -32,21 +32,62 @@ def range_split(df: DataFrame, keys: list[str], order: list[str], partitions: in
     return df.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn(PID, F.spark_partition_id())
 
 
+def _borders(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
+    """Where a run of equal keys begins in a sorted batch, and the batch's length."""
+    change = np.zeros(len(pdf), dtype=bool)
+    change[0] = True
+    for k in names:
+        codes, _ = pd.factorize(pdf[k])
+        change[1:] |= codes[1:] != codes[:-1]
+    return np.append(np.flatnonzero(change), len(pdf))
+
+
 def key_counts(df: DataFrame, keys: list[str], order: str, partitions: int | None = None) -> DataFrame:
     """Rows of every key combination as ``n``; a null key is a key, an empty table gives no rows.
 
-    Only the keys and an eight-byte hash of ``order`` are shuffled. Counting (partition, key) is a map-side
-    aggregation; what is exchanged after it is one partial state for each key of a partition.
+    Only the keys and an eight-byte hash of ``order`` are shuffled. A partition counts its sorted runs; its inner keys are final there and
+    then, and only the states of its first and last key are exchanged and added up.
     """
-    narrow = df.select(*keys, F.xxhash64(order).alias("__ord"))
-    states = range_split(narrow, keys, ["__ord"], partitions).groupBy(PID, *keys).agg(F.count(F.lit(1)).alias("n"))
-    return states.groupBy(*keys).agg(F.sum("n").alias("n"))
+    ks = [f"__k{i}" for i in range(len(keys))]
+    narrow = df.select(*[F.col(k).cast("string").alias(a) for k, a in zip(keys, ks)], F.xxhash64(order).alias("__ord"))
+    split = narrow.repartitionByRange(_partitions(df, partitions), *ks, "__ord").select(*ks).sortWithinPartitions(*ks)
+    names = [*ks, "n", "edge"]
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[list] = []
+        held: list | None = None
+        first = True
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            at = _borders(pdf, ks)
+            cols = [pdf[k].to_numpy(dtype=object)[at[:-1]] for k in ks]
+            for *key, n in zip(*cols, np.diff(at).tolist()):
+                if held is not None and held[:-2] == key:
+                    held[-2] += n
+                    continue
+                if held is not None:
+                    out.append(held)
+                held, first = [*key, n, first], False
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if held is not None:
+            held[-1] = True
+            yield pd.DataFrame([*out, held], columns=names)
+
+    state = T.StructType([*[T.StructField(k, T.StringType()) for k in ks], T.StructField("n", T.LongType()), T.StructField("edge", T.BooleanType())])
+    parts = cut(split.mapInPandas(states, state), costly=True)
+    stitched = parts.where("edge").groupBy(*ks).agg(F.sum("n").alias("n"))
+    out = parts.where("NOT edge").select(*ks, "n").unionByName(stitched)
+    return out.select(*[F.col(a).cast(df.schema[k].dataType).alias(k) for k, a in zip(keys, ks)], "n")
 
 
 def heavy_keys(df: DataFrame, keys: list[str], order: str, share: float = 0.05, partitions: int | None = None) -> DataFrame:
     """Key combinations holding at least ``share`` of all rows, with ``n``."""
-    total = df.select(F.count(F.lit(1)).alias("t")).scalar()
-    return key_counts(df, keys, order, partitions).where(F.col("n") / total >= F.lit(share))
+    counts = cut(key_counts(df, keys, order, partitions))
+    total = counts.select(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
+    return counts.where(F.col("n") / total >= F.lit(share))
 
 
 def key_profile(df: DataFrame, keys: list[str], value: str, ts: str, row_id: str, partitions: int | None = None) -> DataFrame:
@@ -76,12 +117,7 @@ def key_profile(df: DataFrame, keys: list[str], value: str, ts: str, row_id: str
         for pdf in batches:
             if not len(pdf):
                 continue
-            cols = [pdf[k].to_numpy(dtype=object) for k in ks]
-            change = np.zeros(len(pdf), dtype=bool)
-            change[0] = True
-            for c in cols:
-                change[1:] |= np.fromiter((a != b for a, b in zip(c[1:], c[:-1])), dtype=bool, count=len(c) - 1)
-            at = np.append(np.flatnonzero(change), len(pdf))
+            cols, at = [pdf[k].to_numpy(dtype=object) for k in ks], _borders(pdf, ks)
             v, ts_, ids, pid = pdf["__v"].to_numpy(dtype=float), pdf["__ts"].to_numpy(), pdf["__id"].to_numpy(dtype=object), int(pdf[PID].iloc[0])
             for s, e in zip(at[:-1], at[1:]):
                 k = tuple(c[s] for c in cols)

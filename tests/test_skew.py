@@ -1,7 +1,9 @@
 import statistics
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import pytest
+
 from factweave.operators.skew import heavy_keys, key_counts, key_profile, range_split
 
 SCHEMA = "k string, u string, v double, ts timestamp, id string, n int"
@@ -39,6 +41,15 @@ def test_counts_and_heavy_keys(spark):
     assert [(r.k, r.n) for r in heavy_keys(df, ["k", "u"], "id", 0.05, 5).collect()] == [("hot", 3000)]
 
 
+@pytest.mark.parametrize("partitions", [2, 3, 16])
+def test_counts_are_stitched_at_the_borders(spark, partitions):
+    want = Counter((r[0], r[1]) for r in rows())
+    got = key_counts(spark.createDataFrame(rows(), SCHEMA), ["k", "u"], "id", partitions)
+    assert {(r.k, r.u): r.n for r in got.collect()} == want and got.count() == len(want)
+    numbers = spark.createDataFrame([(i % 7 if i % 5 else None, str(i)) for i in range(200)], "i int, id string")
+    assert {r.i: r.n for r in key_counts(numbers, ["i"], "id", partitions).collect()} == Counter(i % 7 if i % 5 else None for i in range(200))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert key_counts(df, ["k", "u"], "id").count() == 0
