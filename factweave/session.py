@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +31,14 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", app:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is set."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset a temporary one is set for a local master, and others are refused."""
     sc = spark.sparkContext
     there = sc.getCheckpointDir()
     if there:
         return there
     wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not wanted and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="factweave-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -77,6 +81,22 @@ def cut(df: DataFrame, costly: bool = False) -> DataFrame:
         kept.unpersist()
 
 
+def saved(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """(the rows as a table written to the shared checkpoint folder, a function that deletes it when it is done with).
+
+    Cuts the lineage as ``cut`` does and works every stage out once, but doesn't keep the order or the partitions of the rows.
+    """
+    spark = df.sparkSession
+    where = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+
+    def drop() -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(where), drop
+
+
 def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``withColumns`` whose expressions are worked out once for each row.
 
