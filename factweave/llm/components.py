@@ -5,7 +5,7 @@ hot vertices and most of the rows, and a frontier join touches each of its edges
 its round limit is still exact: what it reached is contracted to one vertex and the rest goes on. The
 remaining components are labelled by minimum propagation with contraction: in every round each vertex hooks
 its larger neighbours to the least neighbour it has (first the larger, then the smaller side), so a chain
-halves in a round instead of moving by one link. Every round ends in a reliable checkpoint.
+halves in a round instead of moving by one link. Every round ends in a table in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.session import cut
+from factweave.session import saved
 
 
 def latest_links(pairs: DataFrame, left: str, right: str, verdict: str, at: str, wanted: str) -> DataFrame:
@@ -47,69 +47,65 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def peel(edges: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame, str | None]:
-    """(the peeled vertices, the edges left, the contracted vertex of an unfinished peel or None)."""
-    near = cut(_both_ways(edges))
+def peel(edges: DataFrame, max_rounds: int) -> tuple[DataFrame | None, DataFrame, str | None]:
+    """(the peeled vertices, the edges left, the least peeled vertex if the peel is unfinished or None).
+
+    The neighbours of the first vertex, which may be hot, are found by a filter; no join has its rows under one key. Of an unfinished peel
+    all that was reached is one vertex, the least of it.
+    """
+    near = _both_ways(edges)
     top = near.groupBy("u").count().orderBy(F.desc("count"), "u").first()
     if top is None:
-        return edges.select(F.col("a").alias("id")).limit(0), edges, None
-    start = top["u"]
-    seen = frontier = edges.sparkSession.createDataFrame([(start,)], near.select(F.col("u").alias("id")).schema)
-    done = False
-    for _ in range(max_rounds):
-        reached = near.join(frontier.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct()
-        frontier = cut(reached.join(seen, "id", "left_anti"))
+        return None, edges, None
+    start = edges.sparkSession.createDataFrame([(top["u"],)], "id string")
+    frontier = saved(near.where(F.col("u") == top["u"]).select(F.col("v").alias("id")).distinct())[0]
+    others = near.where((F.col("u") != top["u"]) & (F.col("v") != top["u"]))
+    seen, done = start.unionByName(frontier), False
+    for _ in range(max_rounds - 1):
+        reached = others.join(frontier.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct()
+        frontier = saved(reached.join(seen, "id", "left_anti"))[0]
         if frontier.isEmpty():
             done = True
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     if done:
-        rest = edges.join(seen.withColumnRenamed("id", "a"), "a", "left_anti")
-        return seen, rest, None
+        return seen, edges.join(seen.withColumnRenamed("id", "a"), "a", "left_anti"), None
     mark = seen.select(F.col("id"), F.lit(True).alias("in"))
     rest = edges.join(mark.select(F.col("id").alias("a"), F.col("in").alias("ia")), "a", "left").join(mark.select(F.col("id").alias("b"), F.col("in").alias("ib")), "b", "left")
     hub = seen.agg(F.min("id")).first()[0]
     rest = rest.select(F.when(F.col("ia"), F.lit(hub)).otherwise(F.col("a")).alias("x"), F.when(F.col("ib"), F.lit(hub)).otherwise(F.col("b")).alias("y")).where("x <> y")
-    return seen, cut(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), hub
+    return seen, rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), hub
 
 
 def connected_groups(edges: DataFrame, max_peel_rounds: int = 8, max_rounds: int = 60) -> DataFrame:
     """(id, group_id) of every linked record; group_id is the least id of its group.
 
     ``edges`` has ids ``a`` and ``b``; direction, repeats, nulls and links to oneself don't count. No edges, no
-    rows. Ids compare as strings do. The rounds run on numbers, given to the ids once and written down; names come
-    back at the end. Raises if propagation does not settle in ``max_rounds``, which a chain of more links than there
-    are atoms would need.
+    rows. Ids compare as strings do. Every round is a written table that takes the place of the one before. Raises if propagation does not
+    settle in ``max_rounds``, which a chain of more links than there are atoms would need.
     """
     a, b = F.col("a").cast("string"), F.col("b").cast("string")
-    named = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    ids = named.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    numbers = cut(ids.withColumn("id", F.monotonically_increasing_id()))
-    ends = named.join(numbers.select(F.col("name").alias("a"), F.col("id").alias("x")), "a").join(numbers.select(F.col("name").alias("b"), F.col("id").alias("y")), "b")
-    links = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    links, _ = saved(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     seen, rest, hub = peel(links, max_peel_rounds)
-    state, last = cut(rest), None
+    (state, drop), last = saved(rest), None
     for _ in range(max_rounds):
         now = _fingerprint(state)
         if now == last or now[0] == 0:
             break
         last = now
-        state = cut(_star_round(state))
+        following = saved(_star_round(state))
+        drop()
+        state, drop = following
     else:
         raise RuntimeError("minimum propagation did not settle")
-    labels = state.select(F.col("b").alias("id"), F.col("a").alias("root"))
-    labels = labels.unionByName(state.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
-    if hub is not None:  # an unfinished peel goes on under its contracted vertex
+    labels = state.select(F.col("b").alias("id"), F.col("a").alias("group_id"))
+    labels = labels.unionByName(state.select(F.col("a").alias("id"), F.col("a").alias("group_id")).distinct())
+    if seen is None:
+        return labels
+    # the peeled vertices, which may be most of all, have one name, and no join gathers them under one key
+    name = seen.agg(F.min("id")).first()[0]
+    if hub is not None:  # an unfinished peel goes on under its least vertex
         found = labels.where(F.col("id") == hub).first()
-        root = found["root"] if found else hub
+        name = found["group_id"] if found else hub
         labels = labels.where(F.col("id") != hub)
-        inside = labels.where(F.col("root") == root).select("id").unionByName(seen)
-        labels = labels.where(F.col("root") != root)
-    else:
-        inside = seen
-    # the peeled component may hold most rows, so its name is found by itself and no join gathers it under one key
-    giant = inside.join(numbers, "id").select("name")
-    giant = giant.select(F.col("name").alias("id"), F.lit(giant.agg(F.min("name")).first()[0]).alias("group_id"))
-    small = cut(labels.join(numbers, "id").select("name", "root"))
-    least = small.groupBy("root").agg(F.min("name").alias("group_id"))
-    return small.join(least, "root").select(F.col("name").alias("id"), "group_id").unionByName(giant)
+    return labels.unionByName(seen.select("id", F.lit(name).alias("group_id")))

@@ -31,7 +31,7 @@ def groups(spark, edges, **kw):
     return {r.id: r.group_id for r in connected_groups(df, **kw).collect()}
 
 
-@pytest.mark.parametrize("rounds", [1, 8])
+@pytest.mark.parametrize("rounds", [1, 2, 8])
 def test_stars_chains_and_cycles(spark, rounds):
     random.seed(4)
     edges = [("hub", f"s{i:03d}") for i in range(120)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)]
