@@ -9,8 +9,9 @@ Names and figures are words of few passages of the whole test set; items that sh
 questions on one text, an item under other ids) are one passage. An item with fewer than two such words is verified by
 the share of its n-grams alone.
 
-The broadcast set is bounded: test items beyond ``block_chars`` characters are scanned in that many blocks,
-each broadcast by itself, and words are counted before blocks are cut, so blocks don't change the result.
+The broadcast set is bounded: test items beyond ``block_chars`` characters come in that many blocks, each broadcast by itself and held by
+a worker one after the other; documents are cut into words once for all of them. Words are counted before blocks are cut, so blocks don't
+change the result.
 """
 
 from __future__ import annotations
@@ -66,11 +67,6 @@ def tokens(text: str) -> list[str]:
     return [t if t[0] > "9" or t.isdigit() else t.translate(_GROUP) for t in _TOKEN.findall(text)]
 
 
-def token_numbers(text: str, get) -> list[int]:
-    """The tokens' numbers in a vocabulary, 0 for others."""
-    return [get(t, 0) for t in tokens(text)]
-
-
 def passage_marks(blocks: Iterable[list[tuple[int, str]]], n: int = NGRAM, same: float = SAME_PASSAGE) -> set[str]:
     """The words of a whole test set that are names and figures: what few passages have, and in a small set also looks like one."""
     items = sorted({tuple(ws): t for rows in blocks for _, t in rows if (ws := tokens(t or ""))}.items(), key=lambda x: (-len(x[0]), x[0]))
@@ -96,7 +92,7 @@ def passage_marks(blocks: Iterable[list[tuple[int, str]]], n: int = NGRAM, same:
 class Items:
     """Test items as token numbers with the lookup tables of the scan. ``marks`` are those of the whole test set, if this is a block of it."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int = NGRAM, marks: set[str] | None = None) -> None:
+    def __init__(self, rows: list[tuple[int, str]], n: int = NGRAM, marks: set[str] | None = None, share: float = SHARE) -> None:
         self.n = n
         self.words = {i: tokens(t or "") for i, t in rows}
         seen = {w for ws in self.words.values() for w in ws}
@@ -108,15 +104,30 @@ class Items:
         #: Items without two names or figures.
         self.plain = {i for i, ws in self.ids.items() if len(self.marked.intersection(ws)) < 2}
         self.places = {i: self._places(ws) for i, ws in self.ids.items()}
-        grams: dict[int, list[int]] = defaultdict(list)
+        self.item_codes = {i: [self.code(ws, p) for p in range(len(ws) - n + 1)] for i, ws in self.ids.items()}
+        self.code_sets = {i: frozenset(cs) for i, cs in self.item_codes.items()}
+        self.codes = np.array(sorted(set(chain.from_iterable(self.code_sets.values()))), dtype=np.int64)
+        #: Items by those of their n-grams that hold a name or figure; other n-grams may stand in any number of items.
+        self.named: dict[int, list[int]] = defaultdict(list)
         for i, ws in self.ids.items():
-            for k in {self.code(ws, p) for p in range(len(ws) - n + 1)}:
-                grams[k].append(i)
-        self.grams = dict(grams)
-        self.codes = np.array(sorted(grams), dtype=np.int64)
+            if i not in self.plain:
+                for k in {c for p, c in enumerate(self.item_codes[i]) if not self.marked.isdisjoint(ws[p : p + n])}:
+                    self.named[k].append(i)
+        self.unnamed = self._rarest(share)
+        self.named = dict(self.named)
         if self.base**n >= 2**62:
             raise ValueError("too many different words for one block")
 
+    def _rarest(self, share: float) -> dict[int, list[int]]:
+        """Items without names by their rarest n-grams: a document that holds the share of all holds at least one of them."""
+        used = Counter(chain.from_iterable(self.code_sets[i] for i in self.plain))
+        out: dict[int, set[int]] = defaultdict(set)
+        for i in self.plain:
+            codes = sorted(self.item_codes[i], key=lambda c: (used[c], c))
+            for c in codes[: len(codes) - math.ceil(share * len(codes) - 1e-9) + 1]:
+                out[c].add(i)
+        return {c: sorted(xs) for c, xs in out.items()}
+
     def code(self, ws: list[int], p: int) -> int:
         out = 0
         for w in ws[p : p + self.n]:
@@ -271,37 +282,52 @@ def _char_spans(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]
     return [{"start": origin[found[a][0]], "stop": origin[found[min(b, len(found)) - 1][1] - 1] + 1} for a, b in spans]
 
 
-def scan(batches: Iterator[pd.DataFrame], items: Items, share: float, marked_share: float, gap: int) -> Iterator[pd.DataFrame]:
-    get, n, columns = items.vocab.get, items.n, ["doc_id", "item_id", "matched", "item_words", "spans"]
-    apart = [0] * n
+def candidates(ws: list[int], hits: list[int], items: Items) -> dict[int, list[int]]:
+    """Items that a document may hold, with the places where one of their n-grams begins: two of an item's names or figures are hit, or
+    one of the rarest n-grams of an item without names."""
+    n = items.n
+    codes = [items.code(ws, p) for p in hits]
+    marks: dict[int, set[int]] = defaultdict(set)
+    found: set[int] = set()
+    for p, c in zip(hits, codes):
+        for i in items.named.get(c, ()):
+            marks[i].update(items.marked.intersection(ws[p : p + n]))
+        found.update(items.unnamed.get(c, ()))
+    found |= {i for i, m in marks.items() if len(m) >= 2}
+    return {i: [p for p, c in zip(hits, codes) if c in items.code_sets[i]] for i in sorted(found)}
+
+
+def scan_block(words: dict[int, list[str]], items: Items, share: float, marked_share: float, gap: int) -> Iterator[tuple[int, int, int, int, list[tuple[int, int]]]]:
+    """(document, item, matched, item words, token spans) of the cases among the documents of a batch."""
+    get, n, apart = items.vocab.get, items.n, [0] * items.n
+    order = list(words)
+    numbers = {d: [get(t, 0) for t in ws] for d, ws in words.items()}
+    ends = np.cumsum([len(numbers[d]) + n for d in order])
+    # all documents of a batch in one row, with gaps that no window crosses
+    hits = items.hits(np.fromiter(chain.from_iterable(chain(numbers[d], apart) for d in order), dtype=np.int64))
+    owner = np.searchsorted(ends, hits, side="right")
+    for k in np.flatnonzero(np.bincount(owner, minlength=1)).tolist():
+        d = order[k]
+        ws = numbers[d]
+        at = (hits[owner == k] - (ends[k] - len(ws) - n)).tolist()
+        for i, places in candidates(ws, at, items).items():
+            if (case := verify(ws, places, i, items, share, marked_share, gap)) is not None:
+                yield d, i, case[0], len(items.ids[i]), case[1]
+
+
+def scan(batches: Iterator[pd.DataFrame], blocks: list, share: float, marked_share: float, gap: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = {d: t for d, t in enumerate(pdf["text"]) if t}
-        numbers = {d: token_numbers(t, get) for d, t in texts.items()}
-        order = list(numbers)
-        ends = np.cumsum([len(numbers[d]) + n for d in order])
-        # all documents of a batch in one row, with gaps that no window crosses
-        hits = items.hits(np.fromiter(chain.from_iterable(chain(numbers[d], apart) for d in order), dtype=np.int64))
-        owner = np.searchsorted(ends, hits, side="right")
-        out, ids = [], pdf["doc_id"].tolist()
-        for k in np.flatnonzero(np.bincount(owner, minlength=1) >= 2).tolist():
-            d = order[k]
-            ws = numbers[d]
-            by_item: dict[int, list[int]] = defaultdict(list)
-            named: dict[int, set[int]] = defaultdict(set)
-            for p in (hits[owner == k] - (ends[k] - len(ws) - n)).tolist():
-                window = ws[p : p + n]
-                mark = items.marked.intersection(window)
-                for i in items.grams[items.code(window, 0)]:
-                    by_item[i].append(p)
-                    if mark:
-                        named[i] |= mark
-            for i in sorted({i for i, m in named.items() if len(m) >= 2} | items.plain.intersection(by_item)):
-                if (case := verify(ws, by_item[i], i, items, share, marked_share, gap)) is not None:
-                    out.append((ids[d], i, case[0], len(items.ids[i]), _char_spans(texts[d], case[1])))
-        yield pd.DataFrame(out, columns=columns)
-
-
-def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, marked_share: float = MARKED_SHARE, n: int = NGRAM, gap: int = GAP, block_chars: int = 20_000_000) -> DataFrame:
+        words, out, ids = {d: tokens(t) for d, t in texts.items()}, [], pdf["doc_id"].tolist()
+        for block in blocks:
+            for d, i, matched, n, spans in scan_block(words, block.value, share, marked_share, gap):
+                out.append((ids[d], i, matched, n, _char_spans(texts[d], spans)))
+            if len(blocks) > 1:  # a worker holds one block at a time
+                block.__dict__.pop("_value", None)
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "matched", "item_words", "spans"])
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, marked_share: float = MARKED_SHARE, n: int = NGRAM, gap: int = GAP, block_chars: int = 5_000_000) -> DataFrame:
     """(doc_id, item_id, matched, item_words, spans) of every leaked item of every document.
 
     Null and empty texts on either side, and items of fewer than ``n`` words, give no case; whole texts of any length are scanned;
@@ -312,13 +338,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE,
     blocks = max(1, math.ceil((known.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("text IS NOT NULL")
     block = lambda b: [tuple(r) for r in known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-    marks = passage_marks(map(block, range(blocks)), n) if blocks > 1 else None
-    out = None
-    for b in range(blocks):
-        shared = spark.sparkContext.broadcast(Items(block(b), n, marks))
-        part = texts.mapInPandas(lambda batches, s=shared: scan(batches, s.value, share, marked_share, gap), SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
+    marks = passage_marks(map(block, range(blocks)), n)
+    shared = [spark.sparkContext.broadcast(Items(block(b), n, marks, share)) for b in range(blocks)]
+    return texts.mapInPandas(lambda batches: scan(batches, shared, share, marked_share, gap), SCHEMA)
 
 
 def remove_leaks(documents: DataFrame, leaks: DataFrame, whole: bool = False) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from factweave.llm.leaks import Items, common_places, find_leaks, remove_leaks, tokens
 
 ITEM = "In 2016 the ebony ferry carried 8,496 foot passengers, 67753 bicycles and 10 hearses out of Sodronvik. Auditor B. Zamufox of Favodel Trust found that 72456 vouchers from the yarrow ledger carried the stamp of Badrat although only 75,423 had been issued there."
@@ -32,11 +34,21 @@ def test_copies_parts_and_edits(spark):
     assert max(len(r.spans) for r in rows if r.doc_id == 3) == 2
 
 
-def test_blocks_give_the_same(spark):
-    _, whole = leaks(spark)
-    _, parts = leaks(spark, block_chars=150)
-    key = lambda df: sorted((r.doc_id, r.item_id, r.matched) for r in df.collect())
-    assert key(whole) == key(parts)
+def town(k):
+    return f"The clerk in Town{chr(97 + k % 26)}{k} of Shire{k} wrote {7000 + k} letters to Lord Hamlet{k} and kept {100 + k} copies of each in the old hall."
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_blocks_give_the_same(spark, few):
+    items = [(77, ITEM, "s"), (78, TWIN, "s"), (79, "the small boat came back to the shore before the storm and the people on the shore were glad to see it again", "s")]
+    items += [(100 + k, town(k % 40), "s") for k in range(7 if few else 60)]
+    docs = [*DOCS, (20, FILL + items[2][1] + FILL, "x"), *[(30 + k, FILL + town(k) + FILL, "x") for k in range(0, 40, 6)]]
+    key = lambda df: sorted((r.doc_id, r.item_id, r.matched, str(r.spans)) for r in df.collect())
+    size = sum(len(t) for _, t, _ in items)
+    want = key(leaks(spark, docs=docs, items=items)[1])
+    assert {78, 79, 77} & {i for _, i, _, _ in want} == {77, 79} and len(want) > (8 if few else 14)
+    for blocks in (2, 4, 8, 60):
+        assert key(leaks(spark, docs=docs, items=items, block_chars=size / blocks)[1]) == want
 
 
 def test_removal(spark):
