@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,8 +27,10 @@ SEED = 7
 VOCABULARY = ("public_tokenizers", "byte_bpe_50k.tiktoken")
 #: How the tokenizer's words are cut before merging: a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer runs without a word's end are cut for the tokenizer, whose time on one run is not linear.
-_LONG = 20_000
+#: Longer texts go to the tokenizer in pieces, which bounds its memory.
+PIECE = 20_000
+#: Where any text may be cut without changing its tokens: none goes on from a letter or figure into white space.
+_CUT = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])")
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -53,6 +56,15 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
+def pieces(text: str, least: int = PIECE) -> Iterator[str]:
+    """The text in pieces of at least ``least`` characters that end where a token ends; a stretch without such a place stays whole."""
+    start = 0
+    while len(text) - start > least and (m := _CUT.search(text, start + least)) is not None:
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:]
+
+
 def count_tokens(texts: DataFrame, text: str, path: str | None = None) -> DataFrame:
     """``texts`` with ``n_tokens``; a null text has none. The whole text counts."""
     where = vocabulary_path(path)
@@ -61,7 +73,7 @@ def count_tokens(texts: DataFrame, text: str, path: str | None = None) -> DataFr
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoding(where)
         for s in batches:
-            yield pd.Series([0 if t is None else sum(len(enc.encode_ordinary(t[i : i + _LONG])) for i in range(0, len(t), _LONG)) for t in s], dtype="int64")
+            yield pd.Series([0 if t is None else sum(len(enc.encode_ordinary(x)) for x in pieces(t)) for t in s], dtype="int64")
 
     return texts.withColumn("n_tokens", tokens(text))
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from factweave.llm.mixture import count_tokens, draw, encoding, mixture_plan, source_sizes, vocabulary_path, water_fill
+from factweave.llm.mixture import count_tokens, draw, encoding, mixture_plan, pieces, source_sizes, vocabulary_path, water_fill
 
 TARGETS = [("annual_report", 0.5, 1), ("news wire", 0.3, 4), ("rating_note", 0.2, 2), ("none here", 0.0, 3)]
 
@@ -37,7 +37,19 @@ def test_tokens_cover_whole_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.n_tokens for r in count_tokens(df, "t").orderBy("i").collect()]
     assert got[:3] == [len(enc.encode_ordinary(texts[0])), 0, 0]
-    assert abs(got[3] - len(enc.encode_ordinary(texts[3]))) <= 6
+    assert got[3] == len(enc.encode_ordinary(texts[3]))
+
+
+def test_tokens_of_long_texts_are_those_of_the_uncut_text():
+    enc = encoding(vocabulary_path())
+    random.seed(3)
+    odd = ["don't", "we'll", "1,234.50", "naïve", "漢字かな", "a\u00a0b", "x\t\ty", "\r\n", "...", "  ", "\n\n\n", "''s", "🙂", "e\u0301", "q" * 30]
+    text = "".join(random.choice(odd) + random.choice(["", " ", "  ", "\n", " \n "]) for _ in range(14_000))
+    assert len(text) > 50_000
+    for least in (1, 7, 1000, 20_000):
+        cut = list(pieces(text, least))
+        assert "".join(cut) == text and sum(len(enc.encode_ordinary(x)) for x in cut) == len(enc.encode_ordinary(text))
+    assert len(list(pieces("漢" * 50_000))) == 1 and list(pieces("")) == [""]
 
 
 def test_plan_and_draw(spark):
