@@ -24,8 +24,13 @@ def latest_links(pairs: DataFrame, left: str, right: str, verdict: str, at: str,
     """
     l, r = F.col(left).cast("string"), F.col(right).cast("string")
     said = F.upper(F.regexp_replace(F.col(verdict), r"(?U)^\s+|\s+$", ""))
-    rows = pairs.where(l.isNotNull() & r.isNotNull() & (l != r)).select(F.least(l, r).alias("a"), F.greatest(l, r).alias("b"), F.struct(F.col(at).alias("t"), said.alias("v")).alias("s"))
-    return rows.groupBy("a", "b").agg(F.max("s").alias("s")).where(F.col("s.v") == wanted).select("a", "b")
+    rows = pairs.where(l.isNotNull() & r.isNotNull() & (l != r)).select(F.least(l, r).alias("a"), F.greatest(l, r).alias("b"), F.col(at).alias("t"), said.alias("v"))
+    # plain maxima keep this a hash aggregation: of all rows, of those that say what is wanted, and of those that come before them in a tie
+    is_wanted, before = F.col("v") == wanted, F.col("v") > wanted
+    seen = rows.groupBy("a", "b").agg(F.max("t").alias("t"), F.max(F.when(is_wanted, F.col("t"))).alias("tw"), F.max(F.when(before, F.col("t"))).alias("tb"), F.count_if(is_wanted).alias("nw"), F.count_if(before).alias("nb"))
+    dated = (F.col("tw") == F.col("t")) & (F.col("tb").isNull() | (F.col("tb") < F.col("t")))
+    undated = F.col("t").isNull() & (F.col("nw") > 0) & (F.col("nb") == 0)
+    return seen.where(F.coalesce(dated, F.lit(False)) | undated).select("a", "b")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def peel(edges: DataFrame, max_rounds: int) -> tuple[DataFrame | None, DataFrame, str | None]:
+def peel(edges: DataFrame, max_rounds: int) -> tuple[DataFrame | None, DataFrame, int | None]:
     """(the peeled vertices, the edges left, the least peeled vertex if the peel is unfinished or None).
 
     The neighbours of the first vertex, which may be hot, are found by a filter; no join has its rows under one key. Of an unfinished peel
@@ -57,7 +62,7 @@ def peel(edges: DataFrame, max_rounds: int) -> tuple[DataFrame | None, DataFrame
     top = near.groupBy("u").count().orderBy(F.desc("count"), "u").first()
     if top is None:
         return None, edges, None
-    start = edges.sparkSession.createDataFrame([(top["u"],)], "id string")
+    start = edges.sparkSession.createDataFrame([(top["u"],)], near.select(F.col("u").alias("id")).schema)
     frontier = saved(near.where(F.col("u") == top["u"]).select(F.col("v").alias("id")).distinct())[0]
     others = near.where((F.col("u") != top["u"]) & (F.col("v") != top["u"]))
     seen, done = start.unionByName(frontier), False
@@ -77,16 +82,32 @@ def peel(edges: DataFrame, max_rounds: int) -> tuple[DataFrame | None, DataFrame
     return seen, rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), hub
 
 
+def numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((name, id) of every linked record, the links between the ids): ids are hashes of the names, under a seed without collisions."""
+    names, _ = saved(links.select(F.explode(F.array("a", "b")).alias("name")).distinct())
+    for seed in range(20):
+        number = lambda c, s=seed: F.xxhash64(c, F.lit(s))
+        ids = names.select("name", number("name").alias("id"))
+        if ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("no seed gives every record a hash of its own")
+    return ids, links.select(F.least(number("a"), number("b")).alias("a"), F.greatest(number("a"), number("b")).alias("b"))
+
+
 def connected_groups(edges: DataFrame, max_peel_rounds: int = 8, max_rounds: int = 60) -> DataFrame:
     """(id, group_id) of every linked record; group_id is the least id of its group.
 
     ``edges`` has ids ``a`` and ``b``; direction, repeats, nulls and links to oneself don't count. No edges, no
-    rows. Ids compare as strings do. Every round is a written table that takes the place of the one before. Raises if propagation does not
-    settle in ``max_rounds``, which a chain of more links than there are atoms would need.
+    rows. Ids compare as strings do. The rounds run on numbers that stand for the ids; every round is a written table that takes the place of the
+    one before. Raises if propagation does not settle in ``max_rounds``, which a chain of more links than there are atoms would need.
     """
     a, b = F.col("a").cast("string"), F.col("b").cast("string")
-    links, _ = saved(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    named, _ = saved(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    names, links = numbered(named)
     seen, rest, hub = peel(links, max_peel_rounds)
+    if seen is None:
+        return named.select(F.col("a").alias("id"), F.col("b").alias("group_id"))  # no rows
     (state, drop), last = saved(rest), None
     for _ in range(max_rounds):
         now = _fingerprint(state)
@@ -98,14 +119,18 @@ def connected_groups(edges: DataFrame, max_peel_rounds: int = 8, max_rounds: int
         state, drop = following
     else:
         raise RuntimeError("minimum propagation did not settle")
-    labels = state.select(F.col("b").alias("id"), F.col("a").alias("group_id"))
-    labels = labels.unionByName(state.select(F.col("a").alias("id"), F.col("a").alias("group_id")).distinct())
-    if seen is None:
-        return labels
-    # the peeled vertices, which may be most of all, have one name, and no join gathers them under one key
-    name = seen.agg(F.min("id")).first()[0]
-    if hub is not None:  # an unfinished peel goes on under its least vertex
+    labels = state.select(F.col("b").alias("id"), F.col("a").alias("root"))
+    labels = labels.unionByName(state.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
+    inside = seen
+    if hub is not None:  # an unfinished peel goes on under one vertex
         found = labels.where(F.col("id") == hub).first()
-        name = found["group_id"] if found else hub
+        root = found["root"] if found else hub
         labels = labels.where(F.col("id") != hub)
-    return labels.unionByName(seen.select("id", F.lit(name).alias("group_id")))
+        inside = labels.where(F.col("root") == root).select("id").unionByName(seen)
+        labels = labels.where(F.col("root") != root)
+    # the peeled component may hold most rows, so its name is found by itself and no join gathers it under one key
+    giant, _ = saved(inside.join(names, "id").select("name"))
+    giant = giant.select(F.col("name").alias("id"), F.lit(giant.agg(F.min("name")).first()[0]).alias("group_id"))
+    small, _ = saved(labels.join(names, "id").select("name", "root"))
+    least = small.groupBy("root").agg(F.min("name").alias("group_id"))
+    return small.join(least, "root").select(F.col("name").alias("id"), "group_id").unionByName(giant)

@@ -62,7 +62,10 @@ def test_latest_verdict_counts(spark):
         ("a", "b", " corroborates ", T0, None), ("b", "a", "CONTRADICTS", later, None),
         ("c", "d", "CONTRADICTS", T0, "x"), ("d", "c", "Corroborates", later, "x"),
         ("e", "e", "CORROBORATES", T0, None), (None, "f", "CORROBORATES", T0, None), ("g", "h", None, later, None), ("g", "h", "CORROBORATES", T0, None),
+        ("m", "n", "CORROBORATES", T0, None), ("n", "m", "CONTRADICTS", T0, None), ("o", "p", "CORROBORATES", T0, None), ("o", "p", "RECONCILED", T0, None),
+        ("q", "r", "CORROBORATES", None, None), ("q", "r", "UNRELATED", None, None), ("s", "t", "CORROBORATES", None, None), ("s", "t", "CONTRADICTS", None, None),
+        ("u", "v", "CORROBORATES", None, None), ("u", "v", "CONTRADICTS", T0, None), ("w", "x", "CORROBORATES", T0, None), ("w", "x", None, T0, None),
         ("i", "j", "CORROBORATES", None, None), ("k", "l", "CORROBORATES", T0, None), ("k", "l", "CORROBORATES", T0, None),
     ]
     got = {(r.a, r.b) for r in latest_links(spark.createDataFrame(rows, SCHEMA), "left_id", "right_id", "verdict", "judged_at", "CORROBORATES").collect()}
-    assert got == {("c", "d"), ("i", "j"), ("k", "l")}
+    assert got == {("c", "d"), ("i", "j"), ("k", "l"), ("m", "n"), ("s", "t"), ("w", "x")}
