@@ -91,23 +91,60 @@ def without_document(doc_id: str, filings: DataFrame, facts: DataFrame, relation
     return filings.where(stays), facts.where(stays), kept.select(*relations.columns)
 
 
+def _digits(v: Column, n: int) -> tuple[Column, Column]:
+    """(exponent, the first ``n`` decimal digits as text) of a number other than nought, rounded half away from it."""
+    a = F.abs(v)
+    e = F.floor(F.log10(a)).cast("int")
+    m = F.round(F.when(e >= n - 1, a / F.pow(F.lit(10.0), e - (n - 1))).otherwise(a * F.pow(F.lit(10.0), (n - 1) - e)), 0).cast("long")
+    over = m >= 10**n
+    return e + over.cast("int"), F.when(over, F.lit("1" + "0" * (n - 1))).otherwise(m.cast("string"))
+
+
+def general_number(v: Column, n: int = 4) -> Column:
+    """A number in up to ``n`` digits with thousands set off, in powers of ten where it is under 0.0001 or has more digits before the point."""
+    e, s = _digits(v, n)
+    tail = lambda x: F.when(F.length(F.rtrim(x, F.lit("0"))) > 0, F.concat(F.lit("."), F.rtrim(x, F.lit("0")))).otherwise(F.lit(""))
+    power = F.concat(F.substring(s, 1, 1), tail(F.substring(s, 2, n)), F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), F.rtrim(s, F.lit("0")))
+    plain = F.concat(F.format_number(F.substring(s, F.lit(1), e + 1).cast("long"), 0), tail(F.substring(s, e + 2, F.lit(n))))
+    said = F.when((e < -4) | (e >= n), power).when(e < 0, small).otherwise(plain)
+    return F.when(v == 0, F.lit("0")).otherwise(F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), said))
+
+
 def describe(facts: DataFrame) -> DataFrame:
-    """(fact_id, line): each fact in one line."""
+    """(fact_id, line): each fact in one line; a value that is not stated is a question mark."""
     q = F.col("quantity")
     whole = q["canonical_value"].isNotNull() & q["canonical_unit"].isNotNull()
-    value = F.when(whole, F.concat_ws(" ", F.format_string("%.4g", q["canonical_value"]), q["canonical_unit"])).when(q.isNotNull(), q["raw"]).otherwise(F.col("value_text"))
+    value = F.when(whole, F.concat_ws(" ", general_number(q["canonical_value"]), q["canonical_unit"])).when(q.isNotNull(), q["raw"]).otherwise(F.nullif(F.col("value_text"), F.lit("")))
     said = F.array_join(F.transform(F.array_sort(F.map_entries("context")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
-    return facts.select("fact_id", F.concat_ws(" ", F.concat_ws(" / ", "subject", "metric"), F.lit("="), value, F.when(F.length(said) > 0, F.concat(F.lit("["), said, F.lit("]")))).alias("line"))
+    named = F.concat(F.coalesce("subject", F.lit("")), F.lit(" · "), F.coalesce("metric", F.lit("")))
+    return facts.select("fact_id", F.concat(named, F.lit(" = "), F.coalesce(value, F.lit("?")), F.when(F.length(said) > 0, F.concat(F.lit("  ["), said, F.lit("]"))).otherwise(F.lit(""))).alias("line"))
+
+
+# The signs of money.
+SIGNS = {"INR": "₹", "USD": "$", "EUR": "€", "GBP": "£"}
 
 
-def display_value(value: Column, unit: Column) -> Column:
-    """How a value is shown: rupees in millions from a million on, percent with its sign, others with their unit."""
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when((unit == "INR") & (F.abs(value) >= 1e6), F.concat(F.lit("₹"), F.format_number(value / 1e6, 2), F.lit(" Mn")))
-        .when(unit == "percent", F.concat(F.format_number(value, 2), F.lit("%")))
-        .otherwise(F.concat_ws(" ", F.format_number(value, 2), unit))
-    )
+def _two_places(v: Column, always: bool = False) -> Column:
+    """A number with thousands set off and up to two decimals (``always``: just two), rounded half away from nought."""
+    cents = F.round(F.abs(v) * 100, 0).try_cast("long")
+    part = F.lpad((cents % 100).cast("string"), 2, "0")
+    part = part if always else F.rtrim(part, F.lit("0"))
+    text = F.concat(F.format_number(F.floor(cents / 100).cast("long"), 0), F.when(F.length(part) > 0, F.concat(F.lit("."), part)).otherwise(F.lit("")))
+    return F.concat(F.when((v < 0) & (cents > 0), F.lit("-")).otherwise(F.lit("")), text)
+
+
+def display_value(value: Column, unit: Column, text: Column | None = None) -> Column:
+    """How a value is shown: money with its sign, in millions from a million on, percent with its sign, others with their unit, counts bare.
+
+    Without a number its text, or a dash.
+    """
+    sign = F.coalesce(*[F.when(unit == u, F.lit(s)) for u, s in SIGNS.items()])
+    money = F.concat(sign, F.when(F.abs(value) >= 1e6, F.concat(_two_places(value / 1e6, True), F.lit(" Mn"))).otherwise(_two_places(value)))
+    number = _two_places(value)
+    other = F.when(unit == "percent", F.concat(number, F.lit("%"))).when((F.length(unit) > 0) & (unit != "count"), F.concat(number, F.lit(" "), unit)).otherwise(number)
+    nothing = F.coalesce(F.nullif(text, F.lit("")), F.lit("—")) if text is not None else F.lit("—")
+    return F.when(value.isNull() | F.isnan(value), nothing).otherwise(F.coalesce(money, other, general_number(value)))
 
 
 def key_chips(relations: DataFrame) -> DataFrame:

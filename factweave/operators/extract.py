@@ -123,9 +123,9 @@ def to_facts(grounded: DataFrame) -> DataFrame:
         "confidence",
         "notes",
         F.col("ordinal").alias("__ordinal"),
+        F.col("cache_key").alias("__call"),
     )
-    once = best_by(facts, ["fact_id"], F.col("confidence"), -F.col("__ordinal"))
-    return once.drop("__ordinal")
+    return best_by(facts, ["fact_id"], F.col("confidence"), -F.col("__ordinal"), F.col("__call")).drop("__ordinal", "__call")
 
 
 def extraction_stats(grounded: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -143,4 +143,4 @@ def extraction_stats(grounded: DataFrame, failed: DataFrame | None = None) -> Da
 
 def stats_line(stats: DataFrame) -> DataFrame:
     """(doc_id, summary): the counters as one line."""
-    return stats.select("doc_id", F.format_string("%d proposed, %d kept (%.0f%%), %d ungrounded, %d empty, %d failed", "proposed", "kept", F.col("grounding_rate") * 100, "dropped_ungrounded", "dropped_empty_value", "failed_windows").alias("summary"))
+    return stats.select("doc_id", F.format_string("%d proposed, %d kept (%d%%), %d ungrounded, %d empty, %d failed", "proposed", "kept", F.expr("(kept * 100 + proposed div 2) div greatest(proposed, 1)"), "dropped_ungrounded", "dropped_empty_value", "failed_windows").alias("summary"))

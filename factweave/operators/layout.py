@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factweave.functions.text import strip
+
 
 def flatten_spans(spans: DataFrame) -> DataFrame:
     """Offsets of printed spans in their page's text.
@@ -47,9 +49,27 @@ def boxes_for(spans: Column, start: Column, stop: Column) -> Column:
     return F.transform(F.filter(spans, lambda s: (s["start"] < stop) & (s["stop"] > start)), lambda s: s["bbox"])
 
 
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int = 512) -> DataFrame:
+    """(left, right): structs of every two rows with the same keys whose half-open ranges (start, stop) overlap.
+
+    Ranges are laid in bins of ``width`` and meet on (keys, bin), each pair in its first common bin only, so no group is held in a row. Empty ranges and
+    null keys or ends meet nothing.
+    """
+    span = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))
+    side = lambda df, name: df.where("stop > start").select(F.struct(*df.columns).alias(name), *[F.col(k).alias(f"{name}_{k}") for k in keys], F.explode(span).alias(f"{name}_bin"))
+    l, r = side(left, "left"), side(right, "right")
+    met = l.join(r, [F.col(f"left_{k}") == F.col(f"right_{k}") for k in [*keys, "bin"]])
+    first = F.floor(F.greatest("left.start", "right.start") / width)
+    return met.where("left.start < right.stop AND right.start < left.stop").where(F.col("left_bin") == first).select("left", "right")
+
+
 def has_text_layer(pages: DataFrame, sample: int = 5, min_chars: int = 50) -> DataFrame:
-    """(doc_id, has_text): whether any of up to ``sample`` evenly spread pages holds more than ``min_chars`` stripped characters."""
-    per_doc = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.length(F.trim("text")).alias("n")))).alias("p"))
+    """(doc_id, has_text): whether any of up to ``sample`` evenly spread pages holds more than ``min_chars`` stripped characters.
+
+    ``pages`` has (doc_id, page, text) of all pages, blank ones (null or empty text) among them.
+    """
+    n = F.coalesce(F.length(strip(F.col("text"))), F.lit(0))
+    per_doc = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", n.alias("n")))).alias("p"))
     step = F.greatest(F.lit(1), F.expr(f"size(p) div {sample}"))
     seen = F.slice(F.filter("p", lambda x, i: i % step == 0), 1, sample)
     return per_doc.select("doc_id", F.exists(seen, lambda x: x["n"] > min_chars).alias("has_text"))

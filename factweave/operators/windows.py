@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,35 +14,49 @@ WINDOW_CHARS = 12_000
 
 
 def text_blocks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, page, idx, start, stop, text): the non-empty lines of plain texts as blocks of page 1 with code-point offsets."""
-    lines = F.split(F.col(text), "\n")
-    parts = documents.select(F.col(doc_id).alias("doc_id"), lines.alias("lines")).where("lines IS NOT NULL")
-    ends = F.aggregate(
-        "lines",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x.alias("text")))).alias("out")),
-    )["out"]
-    kept = parts.select("doc_id", F.filter(ends, lambda b: F.length(F.trim(b["text"])) > 0).alias("b"))
-    return kept.select("doc_id", F.lit(1).alias("page"), F.posexplode("b").alias("idx", "x")).select("doc_id", "page", "idx", F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.text")).alias("stop"), F.col("x.text").alias("text"))
+    """(doc_id, page, idx, start, stop, text): the lines of plain texts that hold more than blanks, as blocks of page 1 with code-point offsets."""
+
+    @F.pandas_udf("array<struct<idx:int,start:int,stop:int,text:string>>")
+    def lines(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            at, found = 0, []
+            for x in (t or "").split("\n"):
+                if x.strip(" "):
+                    found.append({"idx": len(found), "start": at, "stop": at + len(x), "text": x})
+                at += len(x) + 1
+            out.append(found)
+        return pd.Series(out)
+
+    found = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t IS NOT NULL").select("doc_id", F.explode(lines("t")).alias("x"))
+    return found.select("doc_id", F.lit(1).alias("page"), "x.idx", "x.start", "x.stop", "x.text")
+
+
+def _runs(most: int):
+    @F.pandas_udf("array<struct<start:int,stop:int,first:int,last:int>>")
+    def runs(pages: pd.Series) -> pd.Series:
+        out = []
+        for blocks in pages:
+            found: list[dict] = []
+            for b in blocks:
+                if found and b["stop"] - found[-1]["start"] <= most:
+                    found[-1]["stop"], found[-1]["last"] = int(b["stop"]), int(b["idx"])
+                else:
+                    found.append({"start": int(b["start"]), "stop": int(b["stop"]), "first": int(b["idx"]), "last": int(b["idx"])})
+            out.append(found)
+        return pd.Series(out)
+
+    return runs
 
 
 def build_windows(blocks: DataFrame, max_chars: int = WINDOW_CHARS) -> DataFrame:
     """(doc_id, page, start, stop, first_idx, last_idx): greedy runs of blocks.
 
     A block joins the run unless its end lies more than ``max_chars`` past the run's start; a longer block is a run by itself; runs
-    never cross pages. Blocks of one page are folded in order within the page's row: a page is bounded by what is printed on it.
+    never cross pages. Blocks of one page are folded in order, once, within the page's row: a page is bounded by what is printed on it.
     """
     pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "idx"))).alias("blocks"))
-    empty = F.array().cast("array<struct<start:int,stop:int,first:int,last:int>>")
-
-    def add(acc, b):
-        last = F.try_element_at(acc, F.lit(-1))
-        fresh = F.struct(b["start"].cast("int").alias("start"), b["stop"].cast("int").alias("stop"), b["idx"].cast("int").alias("first"), b["idx"].cast("int").alias("last"))
-        grown = F.struct(last["start"].alias("start"), b["stop"].cast("int").alias("stop"), last["first"].alias("first"), b["idx"].cast("int").alias("last"))
-        over = last.isNull() | (b["stop"] - last["start"] > max_chars)
-        return F.when(over, F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)))
-
-    runs = pages.select("doc_id", "page", F.explode(F.aggregate("blocks", empty, add)).alias("w"))
+    runs = pages.select("doc_id", "page", F.explode(_runs(max_chars)("blocks")).alias("w"))
     return runs.select("doc_id", "page", "w.start", "w.stop", F.col("w.first").alias("first_idx"), F.col("w.last").alias("last_idx"))
 
 

@@ -2,5 +2,6 @@
 
 from factweave.plans.general import general
 from factweave.plans.knowledge import knowledge
+from factweave.plans.reading import reading
 
-REGISTRIES = [general, knowledge]
+REGISTRIES = [general, knowledge, reading]

@@ -10,7 +10,6 @@ from factweave.operators import browse, extract, layout
 from factweave.operators.dedupe import best_by, latest_facts, surest_facts, upsert
 from factweave.operators.pairs import candidate_ids, candidate_pairs, exact_ids, features
 from factweave.operators.verdicts import interesting, judge
-from factweave.operators.windows import build_windows, score_windows, select_windows, text_blocks
 from factweave.plans.registry import Registry
 from factweave.session import cut, table
 
@@ -222,23 +221,6 @@ def fact_density(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.fact_density(F.col("text")).alias("score"))
 
 
-def _windows(spark: SparkSession, sf: str, max_chars: int) -> DataFrame:
-    return build_windows(text_blocks(table(spark, sf, "documents")), max_chars)
-
-
-@query("build_windows")
-def build_windows_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy reading windows of each document's lines."""
-    return _windows(spark, sf, 600)
-
-
-@query("top_windows")
-def top_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """The two densest windows of each document."""
-    pages = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text")
-    return select_windows(score_windows(_windows(spark, sf, 600), pages), 2).select("doc_id", "page", "start", "stop", "score", "window_key")
-
-
 @query(
     "ground_exact",
     """WITH b AS (SELECT item_id, regexp_extract(text, '^[^.]*\\.') AS quote FROM benchmark)
@@ -293,6 +275,22 @@ def fact_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "facts").select(c("fact_id").alias("stored_id"), extract.fact_id(c("doc_id"), c("evidence.page"), c("evidence.span_start"), c("subject"), c("subject_key"), c("metric"), c("metric_key"), c("quantity.raw"), c("value_text"), c("quantity").isNotNull()).alias("computed_id"))
 
 
+# ---- facts by their latest row ----------------------------------------------------------------------------------------
+
+
+def narrow_latest(spark: SparkSession, sf: str, *columns) -> DataFrame:
+    """The latest row of each fact with some columns: what isn't asked for is neither read nor shuffled."""
+    return latest_facts(table(spark, sf, "facts").select("fact_id", "doc_id", "confidence", "ingested_at", *columns))
+
+
+def pair_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The features that pairing and judging need, written down."""
+    place = F.struct("evidence.page", "evidence.span_start").alias("evidence")
+    value = F.struct("quantity.canonical_value", "quantity.canonical_unit")
+    quantity = F.when(F.col("quantity").isNotNull(), value).alias("quantity")
+    return cut(features(narrow_latest(spark, sf, "subject", "metric", "context", "valid_from", "valid_to", place, quantity)))
+
+
 # ---- pairs and verdicts ---------------------------------------------------------------------------------------------
 
 FEATURES_SQL = f"""{LATEST},
@@ -315,14 +313,14 @@ pairs AS (SELECT * FROM wide WHERE score >= 0.5)"""
 @query("candidate_pairs", f"WITH {FEATURES_SQL}, {SCORED_SQL} SELECT left_id, right_id, round(score, 6) AS score FROM pairs")
 def candidate_pairs_query(spark: SparkSession, sf: str) -> DataFrame:
     """Blocked similarity self-join, capped postings, score at least one half."""
-    feats = cut(features(latest_facts(table(spark, sf, "facts"))))
+    feats = pair_features(spark, sf)
     return candidate_pairs(feats).select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
 @query("candidate_pairs_exact", f"WITH {FEATURES_SQL.replace(' AND count(*) <= 400', '')}, {SCORED_SQL} SELECT left_id, right_id, round(score, 6) AS score FROM pairs")
 def candidate_pairs_exact(spark: SparkSession, sf: str) -> DataFrame:
     """J3 without the cap: every pair of score at least one half, whatever the frequency of its tokens."""
-    feats = cut(features(latest_facts(table(spark, sf, "facts"))))
+    feats = pair_features(spark, sf)
     return exact_ids(feats).select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
@@ -371,7 +369,7 @@ verdicts AS (SELECT left_id, right_id, ['RECONCILED','RECONCILED','CORROBORATES'
 
 
 def _judged(spark: SparkSession, sf: str, new_ids: DataFrame | None = None) -> DataFrame:
-    feats = cut(features(latest_facts(table(spark, sf, "facts"))))
+    feats = pair_features(spark, sf)
     return judge(candidate_pairs(feats, new_ids=new_ids))
 
 
@@ -394,14 +392,14 @@ _LAST_DOC = "(SELECT max_by(doc_id, {'t': ingested_at, 'd': doc_id}) FROM filing
 def relate_new(spark: SparkSession, sf: str) -> DataFrame:
     """Relations of the facts of the document taken in last."""
     last = table(spark, sf, "filings").agg(F.max_by("doc_id", F.struct("ingested_at", "doc_id")).alias("doc_id"))
-    ids = latest_facts(table(spark, sf, "facts")).join(F.broadcast(last), "doc_id", "left_semi").select("fact_id")
+    ids = narrow_latest(spark, sf).join(F.broadcast(last), "doc_id", "left_semi").select("fact_id")
     return interesting(_judged(spark, sf, ids)).select("left_id", "right_id", "verdict", "confidence")
 
 
 @query("cross_document_ids", f"WITH {FEATURES_SQL} SELECT i.left_id, i.right_id FROM ids i JOIN feat a ON a.fact_id = i.left_id JOIN feat b ON b.fact_id = i.right_id WHERE a.doc_id <> b.doc_id")
 def cross_document_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate ids between different documents."""
-    return candidate_ids(cut(features(latest_facts(table(spark, sf, "facts")))), cross_document_only=True)
+    return candidate_ids(pair_features(spark, sf), cross_document_only=True)
 
 
 # ---- stored tables ----------------------------------------------------------------------------------------------------
@@ -409,20 +407,20 @@ def cross_document_ids(spark: SparkSession, sf: str) -> DataFrame:
 RELATIONS_LATEST = "rel AS (SELECT r.* FROM (SELECT max_by(x, {'t': judged_at, 'v': verdict, 'c': confidence}) AS r FROM relations x GROUP BY left_id, right_id))"
 
 
-def _relations(spark: SparkSession, sf: str) -> DataFrame:
+def latest_relations(spark: SparkSession, sf: str) -> DataFrame:
     return best_by(table(spark, sf, "relations"), ["left_id", "right_id"], "judged_at", "verdict", "confidence")
 
 
 @query("latest_facts", f"WITH {LATEST} SELECT fact_id, doc_id, subject, metric, confidence, ingested_at FROM latest")
 def latest_facts_query(spark: SparkSession, sf: str) -> DataFrame:
     """Last delivered row of each fact."""
-    return latest_facts(table(spark, sf, "facts")).select("fact_id", "doc_id", "subject", "metric", "confidence", "ingested_at")
+    return narrow_latest(spark, sf, "subject", "metric").select("fact_id", "doc_id", "subject", "metric", "confidence", "ingested_at")
 
 
 @query("surest_facts", "SELECT r.fact_id AS fact_id, r.confidence AS confidence, r.ingested_at AS ingested_at FROM (SELECT max_by(f, {'c': confidence, 't': -epoch_us(ingested_at)}) AS r FROM facts f GROUP BY fact_id)")
 def surest_facts_query(spark: SparkSession, sf: str) -> DataFrame:
     """A10: the most certain row of each fact, the first of equals."""
-    return surest_facts(table(spark, sf, "facts")).select("fact_id", "confidence", "ingested_at")
+    return surest_facts(table(spark, sf, "facts").select("fact_id", "confidence", "ingested_at")).select("fact_id", "confidence", "ingested_at")
 
 
 @query("verdict_counts", "SELECT verdict, count(*) AS n FROM relations GROUP BY verdict")
@@ -463,7 +461,7 @@ def flagged_facts(spark: SparkSession, sf: str) -> DataFrame:
 )
 def facts_query(spark: SparkSession, sf: str) -> DataFrame:
     """A text search, a page of it (the limit is the feature)."""
-    return browse.find_facts(latest_facts(table(spark, sf, "facts")), search="energy", min_confidence=0.8).select("fact_id", "subject", "confidence")
+    return browse.find_facts(narrow_latest(spark, sf, "subject", "metric", "context"), search="energy", min_confidence=0.8).select("fact_id", "subject", "confidence")
 
 
 @query(
@@ -475,14 +473,14 @@ ORDER BY rel.confidence DESC, left_id, right_id LIMIT 500""",
 )
 def relations_query(spark: SparkSession, sf: str) -> DataFrame:
     """J1, P4, P6, P8, P9, T2 (the limit is the feature)."""
-    out = browse.find_relations(_relations(spark, sf), latest_facts(table(spark, sf, "facts")), verdict="reconciled", key="period", cross_document=True, min_confidence=0.5, limit=500)
+    out = browse.find_relations(latest_relations(spark, sf), narrow_latest(spark, sf, "subject"), verdict="reconciled", key="period", cross_document=True, min_confidence=0.5, limit=500)
     return out.select("left_id", "right_id", "verdict", "confidence", F.col("left.subject").alias("left_subject"), F.col("right.subject").alias("right_subject"))
 
 
 @query("relations_with_facts", f"WITH {LATEST}, {RELATIONS_LATEST} SELECT left_id, right_id, verdict, l.metric AS left_metric, g.metric AS right_metric FROM rel JOIN latest l ON l.fact_id = left_id JOIN latest g ON g.fact_id = right_id")
 def relations_with_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Every relation with both its facts."""
-    out = browse.with_facts(_relations(spark, sf), latest_facts(table(spark, sf, "facts")))
+    out = browse.with_facts(latest_relations(spark, sf), narrow_latest(spark, sf, "metric"))
     return out.select("left_id", "right_id", "verdict", F.col("left.metric").alias("left_metric"), F.col("right.metric").alias("right_metric"))
 
 
@@ -522,50 +520,17 @@ def context_signature(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "facts").select("fact_id", F.coalesce(F.array_join(F.array_sort(sig), ";"), F.lit("")).alias("signature"))
 
 
-@query("fact_lines")
-def fact_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Each fact in one line."""
-    return browse.describe(latest_facts(table(spark, sf, "facts")))
-
-
-@query("shown_values")
-def shown_values(spark: SparkSession, sf: str) -> DataFrame:
-    """F39."""
-    return table(spark, sf, "facts").select("fact_id", browse.display_value(F.col("canonical_value"), F.col("canonical_unit")).alias("shown")).distinct()
+BARE_SQL = "regexp_replace(regexp_replace(trim(payload, ' ' || chr(10)), '^```[a-z]*\\s*', ''), '\\s*```$', '')"
+LATEST_CALLS_SQL = "c AS (SELECT r.* FROM (SELECT max_by(x, {'t': created_at, 'p': payload}) AS r FROM extractions x GROUP BY cache_key))"
 
 
-_BARE = "regexp_replace(regexp_replace(trim(payload, ' ' || chr(10)), '^```[a-z]*\\s*', ''), '\\s*```$', '')"
-_LATEST_CALLS = "c AS (SELECT r.* FROM (SELECT max_by(x, {'t': created_at, 'p': payload}) AS r FROM extractions x GROUP BY cache_key))"
-
-
-@query("proposals", f"WITH {_LATEST_CALLS}, j AS (SELECT cache_key, doc_id, page, unnest(from_json(json_extract({_BARE}, '$.facts'), '[\"JSON\"]')) AS f FROM c WHERE json_valid({_BARE})) SELECT cache_key, doc_id, page, f->>'subject' AS subject, f->>'metric' AS metric, f->>'value_raw' AS value_raw, (f->>'confidence')::DOUBLE AS confidence FROM j")
+@query("proposals", f"WITH {LATEST_CALLS_SQL}, j AS (SELECT cache_key, doc_id, page, unnest(from_json(json_extract({BARE_SQL}, '$.facts'), '[\"JSON\"]')) AS f FROM c WHERE json_valid({BARE_SQL})) SELECT cache_key, doc_id, page, f->>'subject' AS subject, f->>'metric' AS metric, f->>'value_raw' AS value_raw, (f->>'confidence')::DOUBLE AS confidence FROM j")
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
     """The proposals of readable payloads."""
     p = extract.proposals(table(spark, sf, "extractions"))
     return p.select("cache_key", "doc_id", "page", *[F.col(f"raw.{c}").alias(c) for c in ("subject", "metric", "value_raw", "confidence")])
 
 
-def _grounded(spark: SparkSession, sf: str) -> DataFrame:
-    """Proposals grounded in the page text that is known: the quotes of the page's stored facts."""
-    quotes = table(spark, sf, "facts").select("doc_id", F.col("evidence.page").alias("page"), F.col("evidence.span_start").alias("at"), F.col("evidence.quote").alias("quote")).where("quote IS NOT NULL").distinct()
-    pages = quotes.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "quote"))), lambda x: x["quote"]), "\n").alias("window_text"))
-    rows = extract.proposals(table(spark, sf, "extractions")).join(pages, ["doc_id", "page"], "left").withColumn("window_text", F.coalesce("window_text", F.lit(""))).withColumn("window_start", F.lit(0))
-    return extract.ground(rows)
-
-
-@query("extracted_facts")
-def extracted_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Grounded, normalised facts of the stored payloads."""
-    facts = extract.to_facts(_grounded(spark, sf))
-    return facts.select("fact_id", "doc_id", "subject_key", "metric_key", "canonical_value", "canonical_unit", "confidence", "notes", F.col("evidence.span_start").alias("span_start"))
-
-
-@query("extraction_stats")
-def extraction_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters of each document."""
-    return extract.extraction_stats(_grounded(spark, sf), extract.failed_calls(table(spark, sf, "extractions")))
-
-
 @query("page_boxes", "SELECT doc_id, evidence.page AS page, count(*) AS n, min(b.x0) AS x0, min(b.y0) AS y0, max(b.x1) AS x1, max(b.y1) AS y1 FROM (SELECT doc_id, evidence, unnest(evidence.bboxes) AS b FROM facts) GROUP BY doc_id, evidence.page")
 def page_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """The box around all evidence of a page."""
@@ -580,8 +545,7 @@ def page_boxes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT a.fact_id AS fact_id, count(b.fact_id) AS touching FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.page = b.page AND b.s < a.t AND b.t > a.s AND a.fact_id <> b.fact_id GROUP BY a.fact_id""",
 )
 def evidence_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts whose evidence ranges overlap on a page; the range test runs inside the page's array of spans."""
-    e = table(spark, sf, "facts").select("fact_id", "doc_id", F.col("evidence.page").alias("page"), F.col("evidence.span_start").alias("s"), F.col("evidence.span_end").alias("t")).where("t > s").distinct()
-    pages = e.groupBy("doc_id", "page").agg(F.collect_list(F.struct(F.col("s").alias("start"), F.col("t").alias("stop"), F.col("fact_id").alias("bbox"))).alias("spans"))
-    met = e.join(pages, ["doc_id", "page"]).withColumn("hit", F.explode(layout.boxes_for(F.col("spans"), F.col("s"), F.col("t")))).where("hit <> fact_id")
-    return met.groupBy("fact_id").agg(F.count("hit").alias("touching"))
+    """Facts whose evidence ranges overlap on a page."""
+    e = table(spark, sf, "facts").select("fact_id", "doc_id", F.col("evidence.page").alias("page"), F.col("evidence.span_start").alias("start"), F.col("evidence.span_end").alias("stop")).where("stop > start").distinct()
+    met = layout.overlaps(e, e, ["doc_id", "page"]).where("left.fact_id <> right.fact_id")
+    return met.groupBy(F.col("left.fact_id").alias("fact_id")).agg(F.count(F.lit(1)).alias("touching"))
