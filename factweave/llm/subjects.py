@@ -3,7 +3,7 @@
 Sentences of labelled documents are transactions of word stems; the document's areas are class items of
 each. Frequent patterns come from Spark's parallel FP-growth, those with a class item become rules, and a rule
 is pruned where a shorter one says the same with no less confidence. Raters err and leave areas out, so
-confidences are calibrated to what the best rules of an area reach. Every sentence of every document is then scored by its
+confidences are calibrated on held-out labelled documents to what the best rules of an area reach there. Every sentence of every document is then scored by its
 most specific matching rules; a document has the areas that enough of its sentences treat.
 """
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.session import cut
+from factweave.session import saved
 
 #: At most so many labelled documents are mined, taken by hash of the id; all documents are scored.
 MAX_LABELLED = 20_000
@@ -29,12 +29,18 @@ MIN_SENTENCES = 3
 MIN_COUNT = 3
 #: Items worth mining: their share in an area over the area's own share.
 MIN_LIFT = 1.6
+#: Words of a rule, and kept words of a transaction: the patterns of a longer sentence, which come in pieces of so many words, would multiply.
+MAX_WORDS, MAX_ITEMS = 3, 12
+#: One labelled document in so many, by hash of the id, is not mined but serves to calibrate.
+HELD_OUT = 5
+#: What a longer pattern must add to the confidence of its parts.
+MARGIN = 0.05
 #: Calibrated evidence that makes a sentence treat an area.
 EVIDENCE = 0.55
 _CLASS = "\t"
 
 _MARKS = re.compile("[̀-ͯ]+")
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+")
 #: A sentence ends at a mark before white space or at an empty line ...
 _END = re.compile(r"[.!?][\"'”»)\]]*(?:\s|$)|\n\s*\n")
@@ -109,7 +115,9 @@ class Rules:
         for pattern, area, evidence in rules:
             self.rules[pattern].append((area, evidence))
         self.items = {w for p in self.rules for w in p}
-        self.sizes = sorted({len(p) for p in self.rules}, reverse=True)
+        self.by_first: dict[str, list[tuple[str, ...]]] = defaultdict(list)
+        for p in self.rules:
+            self.by_first[p[0]].append(p)
         self.form = {f: w for w in self.items for f in (w + "s", w) if stem(f) == w}
         self.known = known | self.items
         near: dict[str, set[str]] = defaultdict(set)
@@ -134,18 +142,17 @@ class Rules:
         return self.memo[w]
 
     def score(self, found: set[str]) -> dict[str, float]:
-        """Evidence by area: of each area the best rule, where a longer matching pattern stands for the shorter ones in it."""
+        """Evidence by area: of each area the best rule, where a longer matching pattern stands for the shorter ones in it.
+
+        Only the rules that begin with one of the words are looked at, so any number of words may match.
+        """
+        matched = [p for w in found for p in self.by_first.get(w, ()) if found.issuperset(p)]
+        covered = {q for p in matched for m in range(1, len(p)) for q in combinations(p, m)}
         out: dict[str, float] = {}
-        covered: set[tuple[str, ...]] = set()
-        ordered = sorted(found)
-        for n in self.sizes:
-            for p in combinations(ordered, n):
-                if p in self.rules:
-                    if p not in covered:
-                        for area, e in self.rules[p]:
-                            out[area] = max(out.get(area, 0.0), e)
-                    for m in range(1, n):
-                        covered.update(combinations(p, m))
+        for p in matched:
+            if p not in covered:
+                for area, e in self.rules[p]:
+                    out[area] = max(out.get(area, 0.0), e)
         return out
 
     def area(self, ws: list[str], evidence: float) -> str | None:
@@ -175,8 +182,6 @@ class Rules:
                 return None
             top = max(rules, key=lambda x: (x[1], x[0]))
             return top[0] if top[1] >= evidence else None
-        if len(found) > 14:  # a run of headings: look at it word by word and pair by pair
-            found = set(sorted(found, key=lambda w: -max((e for _, e in self.rules.get((w,), ())), default=0))[:14])
         scores = self.score(found)
         top = max(scores.items(), key=lambda x: (x[1], x[0]), default=(None, 0.0))
         return top[0] if top[1] >= evidence else None
@@ -190,83 +195,86 @@ def mine(documents: DataFrame, labels: DataFrame, areas: DataFrame, limit: int =
     from pyspark.ml.fpm import FPGrowth
 
     sample = labelled(documents, labels, areas, limit)
-    rows = cut(sample.mapInPandas(_transactions, "doc_id long, items array<string>, codes array<string>"), costly=True)
-    n = rows.count()
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_OUT)) == 0
+    rows, drop_rows = saved(sample.mapInPandas(_transactions, "doc_id long, items array<string>, codes array<string>").withColumn("held", held))
+    size = {r["held"]: r["n"] for r in rows.groupBy("held").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = size.get(False, 0)
     if not n:
         return Rules([], set())
-    base = {r["code"]: r["n"] for r in rows.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
-    by_item = rows.select("doc_id", F.explode("items").alias("item"), "codes").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
-    by_class = rows.select(F.explode("items").alias("item"), "codes").select("item", F.explode("codes").alias("code")).groupBy("item", "code").agg(F.count(F.lit(1)).alias("k"))
+    mined, kept_out = F.count_if(~F.col("held")), F.count_if("held")
+    prior = {r["code"]: r["n"] / n for r in rows.select(F.explode("codes").alias("code"), "held").groupBy("code").agg(mined.alias("n")).collect()}
+    by_item = rows.select("doc_id", "held", F.explode("items").alias("item")).groupBy("item").agg(mined.alias("n"), kept_out.alias("held_n"), F.count_distinct(F.when(~F.col("held"), F.col("doc_id"))).alias("docs"))
+    by_class = rows.select("held", F.explode("items").alias("item"), "codes").select("held", "item", F.explode("codes").alias("code")).groupBy("item", "code").agg(mined.alias("k"), kept_out.alias("held_k"))
     # the words of a bounded sample that occur in it min_count times: a bounded list
-    counts = by_item.where((F.col("n") >= min_count)).join(by_class, "item").collect()
-    keep: set[str] = set()
-    known: set[str] = set()
-    for r in counts:
-        known.add(r["item"])
-        if r["docs"] >= 2 and r["k"] >= min_count and len(r["item"]) > 2 and r["k"] / r["n"] >= min_lift * base[r["code"]] / n:
-            keep.add(r["item"])
+    known = {r["item"] for r in by_item.where(F.col("n") + F.col("held_n") >= min_count).select("item").collect()}
+    base = F.coalesce(*[F.when(F.col("code") == c, F.lit(x)) for c, x in prior.items()], F.lit(0.0))
+    telling = (F.col("docs") >= 2) & (F.col("k") >= min_count) & (F.length("item") > 2) & (F.col("k") / F.col("n") >= base * min_lift)
+    counts = by_item.where(F.col("n") >= min_count).join(by_class, "item").where(telling).collect()
+    keep = {r["item"] for r in counts}
     if names is not None and names in documents.columns and keep:
         keep -= names_among(documents, names, keep)
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [([*ws, *(_CLASS + c for c in cs)],) for items, cs in zip(pdf["items"], pdf["codes"]) if (ws := keep.intersection(items))]
+            kept = [([w for w in items if w in keep], [_CLASS + c for c in cs]) for items, cs in zip(pdf["items"], pdf["codes"])]
+            out = [([*ws[k : k + MAX_ITEMS], *cs],) for ws, cs in kept for k in range(0, len(ws), MAX_ITEMS)]
             yield pd.DataFrame(out, columns=["items"])
 
-    kept = cut(rows.select("items", "codes").mapInPandas(marked, "items array<string>"))
+    kept, drop_kept = saved(rows.where("NOT held").select("items", "codes").mapInPandas(marked, "items array<string>"))
     total = kept.count()
     if not total:
         return Rules([], known)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_count / total), minConfidence=0.0)
-    patterns = model.fit(kept).freqItemsets.where(F.size("items") <= 4).collect()
-    freq: dict[tuple[str, ...], int] = {}
-    joint: dict[tuple[str, ...], dict[str, int]] = defaultdict(dict)
-    for r in patterns:
-        classes = [i[1:] for i in r["items"] if i[0] == _CLASS]
-        pattern = tuple(sorted(i for i in r["items"] if i[0] != _CLASS))
-        if not classes:
-            freq[pattern] = r["freq"]
-        elif len(classes) == 1 and 1 <= len(pattern) <= 3:
-            joint[pattern][classes[0]] = r["freq"]
-    return Rules(calibrate(prune(freq, joint, {c: k / n for c, k in base.items()}, min_lift)), known)
-
-
-def prune(freq: dict, joint: dict, prior: dict[str, float], min_lift: float, margin: float = 0.05) -> list[tuple[tuple[str, ...], str, float, int]]:
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, min_count / total), minConfidence=0.0).fit(kept).freqItemsets
+    is_class = lambda i: F.startswith(i, F.lit(_CLASS))
+    sets = sets.select("freq", F.filter("items", is_class).alias("codes"), F.array_sort(F.filter("items", lambda i: ~is_class(i))).alias("words")).where(f"size(words) BETWEEN 1 AND {MAX_WORDS} AND size(codes) <= 1")
+    sets, drop_sets = saved(sets)
+    whole = sets.where("size(codes) = 0").select("words", F.col("freq").alias("n"))
+    joint = sets.where("size(codes) = 1").select("words", F.substring(F.col("codes")[0], 2, 1000).alias("code"), F.col("freq").alias("k"))
+    # confidence is smoothed towards the area's prior by two sentences, so rare patterns don't outdo their parts by luck
+    conf = (F.col("k") + 2 * base) / (F.col("n") + 2)
+    top = joint.join(whole, "words").withColumn("conf", conf).withColumn("prior", base).groupBy("words").agg(F.max_by(F.struct("code", "conf", "k", "prior"), F.struct("conf", "code")).alias("t"))
+    best = {tuple(r["words"]): (r["code"], r["conf"], r["k"]) for r in top.where(F.col("t.conf") >= F.col("t.prior") * min_lift - MARGIN).select("words", "t.code", "t.conf", "t.k").collect()}
+    for drop in (drop_rows, drop_kept, drop_sets):
+        drop()
+    checked = {(r["item"], r["code"]): (r["held_k"], r["held_n"]) for r in counts if r["held_n"]}
+    return Rules(calibrate(prune(best, prior, min_lift), checked, prior), known)
+
+
+def prune(best: dict[tuple[str, ...], tuple[str, float, int]], prior: dict[str, float], min_lift: float, margin: float = MARGIN) -> list[tuple[tuple[str, ...], str, float, int]]:
     """Rules (pattern, area, confidence, count) without those that a part of the pattern makes as well.
 
-    Confidence is smoothed towards the area's prior by two sentences, so rare patterns don't outdo their parts by luck.
+    ``best`` has each pattern's most likely area with confidence and count.
     """
-    conf: dict[tuple[str, ...], dict[str, float]] = {p: {c: (k + 2 * prior[c]) / (freq[p] + 2) for c, k in cs.items()} for p, cs in joint.items() if p in freq}
     out = []
-    for p, cs in conf.items():
-        top = max(cs, key=lambda c: (cs[c], c))
-        if cs[top] < min_lift * prior[top]:
-            continue
-        parts = [q for m in range(1, len(p)) for q in combinations(p, m) if q in conf]
-        said = [(max(conf[q].values()), max(conf[q], key=lambda c, q=q: (conf[q][c], c))) for q in parts]
-        if any(c == top and x >= cs[top] - margin for x, c in said):
-            continue
-        out.append((p, top, cs[top], joint[p][top]))
+    for p, (area, c, k) in best.items():
+        parts = [best[q] for m in range(1, len(p)) for q in combinations(p, m) if q in best]
+        if c >= min_lift * prior[area] and not any(a == area and x >= c - margin for a, x, _ in parts):
+            out.append((p, area, c, k))
     return out
 
 
-def calibrate(rules: list[tuple[tuple[str, ...], str, float, int]]) -> list[tuple[tuple[str, ...], str, float]]:
+def calibrate(rules: list[tuple[tuple[str, ...], str, float, int]], checked: dict[tuple[str, str], tuple[int, int]], prior: dict[str, float]) -> list[tuple[tuple[str, ...], str, float]]:
     """Evidence of a rule: its confidence over what the area's sure rules reach, one at most.
 
-    Wrong and missing labels keep even sure rules of an area under one; the level they reach is the upper quartile of the area's
-    single-word rules, weighted by their counts.
+    Wrong and missing labels keep even sure rules of an area under one; the level they reach is the upper quartile of the confidences
+    that the area's single-word rules have in held-out documents (``checked``: hits and sentences of word and area), weighted by their hits. An area
+    without held-out sentences goes by the mined confidences.
     """
     level: dict[str, float] = {}
-    by_area: dict[str, list[tuple[float, int]]] = defaultdict(list)
+    mined: dict[str, list[tuple[float, int]]] = defaultdict(list)
+    held: dict[str, list[tuple[float, int]]] = defaultdict(list)
     for p, area, c, k in rules:
         if len(p) == 1:
-            by_area[area].append((c, k))
-    for area, cs in by_area.items():
-        cs.sort()
-        half, run = 0.75 * sum(k for _, k in cs), 0
+            mined[area].append((c, k))
+            hits, sentences = checked.get((p[0], area), (0, 0))
+            if hits:
+                held[area].append(((hits + 2 * prior[area]) / (sentences + 2), hits))
+    for area in mined:
+        cs = sorted(held[area] if sum(k for _, k in held[area]) >= 30 else mined[area])
+        upper, run = 0.75 * sum(k for _, k in cs), 0
         for c, k in cs:
             run += k
-            if run >= half:
+            if run >= upper:
                 level[area] = c
                 break
     return [(p, area, min(1.0, c / level.get(area, 1.0))) for p, area, c, _ in rules]

@@ -71,11 +71,29 @@ def test_sentences():
 
 
 def test_rules():
-    freq = {("a",): 100, ("b",): 100, ("a", "b"): 50}
-    joint = {("a",): {"x": 90, "y": 5}, ("b",): {"x": 50, "y": 40}, ("a", "b"): {"x": 46}}
-    rules = prune(freq, joint, {"x": 0.3, "y": 0.3}, 1.5)
+    prior = {"x": 0.3, "y": 0.3}
+    rules = prune({("a",): ("x", 0.9, 90), ("b",): ("x", 0.5, 50), ("a", "b"): ("x", 0.92, 46), ("c",): ("y", 0.4, 9)}, prior, 1.5)
     assert [(p, c) for p, c, _, _ in rules] == [(("a",), "x"), (("b",), "x")]
-    evidence = {p: e for p, _, e in calibrate(rules)}
+    evidence = {p: e for p, _, e in calibrate(rules, {}, prior)}
     assert evidence["a",] == 1.0 and 0.5 < evidence["b",] < 0.6
+    held = {p: e for p, _, e in calibrate(rules, {("a", "x"): (90, 120), ("b", "x"): (3, 50)}, prior)}
+    assert held["a",] == 1.0 and 0.6 < held["b",] < 0.7  # sure rules reach three in four in held-out documents
     r = Rules([(("pipeline",), "energy", 0.6), (("data", "pipeline"), "software", 0.9), (("gas",), "energy", 0.9)], set())
     assert r.area(["data", "pipelines"], 0.5) == "software" and r.area(["gas", "pipeline"], 0.5) == "energy" and r.area(["x"], 0.5) is None
+
+
+def test_any_number_of_words_matches():
+    random.seed(2)
+    ws = [f"w{i:02d}" for i in range(40)]
+    rules = [(tuple(sorted(random.sample(ws, random.choice([1, 1, 2, 3])))), random.choice("xyz"), random.random()) for _ in range(300)]
+    r = Rules(rules, set())
+    for n in (1, 5, 14, 30, 40):
+        found = set(random.sample(ws, n))
+        matched = {p for p, _, _ in rules if set(p) <= found}
+        left = {p for p in matched if not any(set(p) < set(q) for q in matched)}
+        want = {}
+        for p, a, e in rules:
+            if p in left:
+                want[a] = max(want.get(a, 0), e)
+        assert r.score(found) == want
+    assert folded("a <b " + "x" * 500 + ">c") == "a  c"
