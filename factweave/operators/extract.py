@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from factweave.functions.quantities import infer_unit, parse_number, scale, unit_phrase
 from factweave.functions.text import grounding_quality, locate, strip
@@ -97,7 +98,7 @@ def ground(rows: DataFrame) -> DataFrame:
 
 
 def to_facts(grounded: DataFrame) -> DataFrame:
-    """Kept proposals as fact rows, each fact_id once: the surest, then the first found, in reading order of each document."""
+    """Kept proposals as fact rows, each fact_id once: the surest, then the first found."""
     raw = F.col("raw")
     subject, metric = strip(raw["subject"]), strip(raw["metric"])
     page, start = F.col("page"), F.col("span.start")
@@ -128,6 +129,12 @@ def to_facts(grounded: DataFrame) -> DataFrame:
     return best_by(facts, ["fact_id"], F.col("confidence"), -F.col("__ordinal"), F.col("__call")).drop("__ordinal", "__call")
 
 
+def in_reading_order(facts: DataFrame) -> DataFrame:
+    """Facts with ``place``, their number (from one) in their document by page and offset; ties by id, unplaced ones first."""
+    by_place = W.partitionBy("doc_id").orderBy(F.col("evidence.page"), F.col("evidence.span_start"), F.col("fact_id"))
+    return facts.withColumn("place", F.row_number().over(by_place))
+
+
 def extraction_stats(grounded: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Counters of each document: proposed, kept, dropped_ungrounded, dropped_empty_value, failed_windows, grounding_rate."""
     is_ = lambda o: F.sum(F.when(F.col("outcome") == o, 1).otherwise(0))

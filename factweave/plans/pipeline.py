@@ -12,8 +12,8 @@ from factweave.operators.layout import boxes_for, flatten_spans, has_text_layer,
 from factweave.operators.pairs import POSTING_CAP, THRESHOLD, candidate_pairs, features
 from factweave.operators.verdicts import interesting, judge, ranked
 from factweave.operators.windows import WINDOW_CHARS, build_windows, score_windows, select_windows
-from factweave.session import cut
-from factweave.sources.connect import Extractor, IngestError, Parser, call_extractor, parse_documents
+from factweave.session import cut, saved
+from factweave.sources.connect import PROMPT_VERSION, Extractor, IngestError, Parser, call_extractor, parse_documents
 from factweave.sources.files import facts_per_document
 from factweave.sources.store import Store
 
@@ -41,56 +41,53 @@ def relate_new(store: Store, new_ids: DataFrame, **options) -> DataFrame:
     """Judges the pairs with at least one new fact and adds them; pairs judged before from the other side are replaced."""
     found = cut(relate(store.read("facts"), new_ids=new_ids, **options).withColumn("judged_at", F.current_timestamp()))
     swapped = found.select(F.col("left_id").alias("right_id"), F.col("right_id").alias("left_id"))
-    kept = store.read("relations").join(swapped, ["left_id", "right_id"], "left_anti")
-    both = kept.join(found.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti").unionByName(found)
-    store.replace("relations", both)
+    store.delete("relations", swapped)
+    store.save("relations", found)
     return verdict_counts(found)
 
 
-def ingest(store: Store, binaries: DataFrame, parser: Parser, extractor: Extractor, model: str = "stub", window_limit: int | None = None, max_chars: int = WINDOW_CHARS) -> DataFrame:
-    """Takes in documents (doc_id, filename, content) that the store does not hold; gives the counters of each.
+def ingest(store: Store, binaries: DataFrame, parser: Parser, extractor: Extractor, model: str = "stub", window_limit: int | None = None, max_chars: int = WINDOW_CHARS, version: str = PROMPT_VERSION) -> DataFrame:
+    """Takes in documents (doc_id, filename, content) that the store does not hold; gives (doc_id, outcome, counters) of each.
 
-    Parsed spans become pages and blocks, blocks reading windows, windows payloads (cached ones first), payloads grounded facts.
+    Parsed spans become pages and blocks, blocks reading windows, windows payloads (cached ones first), payloads grounded facts. The outcome is ``ingested``,
+    ``no text layer`` or ``no passage``; only where no document of a call can be taken in an error is raised.
     """
     new = binaries.join(store.read("filings").select("doc_id"), "doc_id", "left_anti")
     names = new.select("doc_id", "filename")
-    placed = cut(flatten_spans(parse_documents(new, parser)))
-    blocks = cut(page_blocks(placed))
-    pages = page_texts(blocks)
-    layered = has_text_layer(pages).where("has_text")
-    if layered.isEmpty():
-        if new.isEmpty():
-            return extraction_stats(_no_proposals(store))
-        raise IngestError("no text layer in any document")
-    pages = cut(pages.join(layered.select("doc_id"), "doc_id", "left_semi"))
-    windows = cut(select_windows(score_windows(build_windows(blocks, max_chars), pages), window_limit))
-    if windows.isEmpty():
-        raise IngestError("no passage worth reading")
-    answers = cut(call_extractor(windows, store.read("extractions"), extractor, model))
-    store.save("extractions", answers.where("NOT hit AND payload IS NOT NULL").withColumn("created_at", F.current_timestamp()))
+    spans, _ = saved(parse_documents(new, parser))
+    placed, _ = saved(flatten_spans(spans))
+    blocks, _ = saved(page_blocks(placed))
+    texts = page_texts(blocks)
+    numbers = spans.groupBy("doc_id").agg(F.explode(F.sequence(F.lit(1), F.max("page"))).alias("page"))
+    layered, _ = saved(has_text_layer(numbers.join(texts, ["doc_id", "page"], "left")).where("has_text").select("doc_id"))
+    pages, _ = saved(texts.join(layered, "doc_id", "left_semi"))
+    windows, _ = saved(select_windows(score_windows(build_windows(blocks, max_chars), pages), window_limit))
+    answers, _ = saved(call_extractor(windows, store.read("extractions"), extractor, model, version))
+    fresh = answers.where("NOT hit AND payload IS NOT NULL").select("cache_key", "doc_id", "page", "model", "payload", F.current_timestamp().alias("created_at"))
     read = answers.withColumn("facts", payload(F.col("payload"))["facts"])
-    failed = read.where("facts IS NULL")
-    texts = windows.select("doc_id", "page", F.col("start").alias("window_start"), F.col("text").alias("window_text"), F.sha2(F.concat(F.lit("v1"), F.char(F.lit(0)), F.lit(model), F.char(F.lit(0)), "text"), 256).alias("cache_key"))
-    rows = read.where("facts IS NOT NULL").select("cache_key", "doc_id", "page", F.posexplode("facts").alias("ordinal", "raw")).join(texts, ["cache_key", "doc_id", "page"]).join(names, "doc_id")
-    grounded = cut(ground(rows))
-    spans = placed.groupBy("doc_id", "page").agg(F.collect_list(F.struct("start", "stop", "bbox")).alias("spans"))
-    boxed = grounded.join(spans, ["doc_id", "page"], "left").withColumn("bboxes", boxes_for(F.col("spans"), F.col("span.start"), F.col("span.stop"))).drop("spans")
-    facts = cut(to_facts(boxed).withColumn("ingested_at", F.current_timestamp()))
-    stats = extraction_stats(grounded, failed)
-    read_windows = windows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("windows_read"))
-    hits = answers.groupBy("doc_id").agg(F.count_if("hit").cast("int").alias("cache_hits"))
-    counted = read_windows.join(hits, "doc_id", "left").join(stats, "doc_id", "left")
+    rows = read.where("facts IS NOT NULL").select("cache_key", "doc_id", "page", F.col("start").alias("window_start"), F.col("text").alias("window_text"), F.posexplode("facts").alias("ordinal", "raw")).join(names, "doc_id")
+    grounded, _ = saved(ground(rows))
+    boxes = placed.groupBy("doc_id", "page").agg(F.collect_list(F.struct("start", "stop", "bbox")).alias("spans"))
+    boxed = grounded.join(boxes, ["doc_id", "page"], "left").withColumn("bboxes", boxes_for(F.col("spans"), F.col("span.start"), F.col("span.stop"))).drop("spans")
+    facts, _ = saved(to_facts(boxed).withColumn("ingested_at", F.current_timestamp()))
+    stats = extraction_stats(grounded, read.where("facts IS NULL"))
+    read_windows = answers.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows_read"), F.count_if("hit").alias("cache_hits"))
+    counters = ("windows_read", "proposed", "kept", "dropped_ungrounded", "dropped_empty_value", "failed_windows", "cache_hits")
+    counted = names.select("doc_id").join(layered.withColumn("layer", F.lit(True)), "doc_id", "left").join(read_windows, "doc_id", "left").join(stats, "doc_id", "left")
+    outcome = F.when(F.col("layer").isNull(), "no text layer").when(F.col("windows_read").isNull(), "no passage").otherwise("ingested")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c)
-    per_doc = pages.groupBy("doc_id").agg(F.max("page").cast("int").alias("page_count"), F.sum(F.length("text")).alias("char_count"))
-    filings = names.join(per_doc, "doc_id").join(counted, "doc_id").select("doc_id", "filename", "page_count", "char_count", F.current_timestamp().alias("ingested_at"), F.struct(*[zero(c) for c in ("windows_read", "proposed", "kept", "dropped_ungrounded", "dropped_empty_value", "failed_windows", "cache_hits")]).alias("stats"))
-    store.save("filings", cut(filings))
-    store.save("facts", facts)
-    relate_new(store, facts.select("fact_id"))
-    return stats
-
-
-def _no_proposals(store: Store) -> DataFrame:
-    return store.spark.createDataFrame([], "doc_id string, outcome string")
+    report, _ = saved(counted.select("doc_id", outcome.alias("outcome"), *[zero(c) for c in counters], F.coalesce("grounding_rate", F.lit(0.0)).alias("grounding_rate")))
+    said = {r["outcome"] for r in report.select("outcome").distinct().collect()}
+    if said and "ingested" not in said:
+        raise IngestError("nothing taken in: " + ", ".join(sorted(said)))
+    if said:
+        store.save("extractions", fresh)
+        per_doc = pages.groupBy("doc_id").agg(F.sum(F.length("text")).alias("char_count")).join(numbers.groupBy("doc_id").agg(F.max("page").cast("int").alias("page_count")), "doc_id")
+        taken = report.where("outcome = 'ingested'").join(names, "doc_id").join(per_doc, "doc_id")
+        store.save("filings", taken.select("doc_id", "filename", "page_count", "char_count", F.current_timestamp().alias("ingested_at"), F.struct(*counters).alias("stats")))
+        store.save("facts", facts)
+        relate_new(store, facts.select("fact_id"))
+    return report
 
 
 def load_facts(store: Store, facts: DataFrame, names: DataFrame) -> DataFrame:

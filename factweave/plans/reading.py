@@ -295,3 +295,10 @@ def relations_of_fact(spark: SparkSession, sf: str) -> DataFrame:
 def key_chips(spark: SparkSession, sf: str) -> DataFrame:
     """The qualifiers to show, differing ones first."""
     return browse.key_chips(latest_relations(spark, sf)).select("left_id", "right_id", F.array_join("keys", ",").alias("keys"))
+
+
+@query("reading_order", f"WITH {LATEST} SELECT doc_id, fact_id, row_number() OVER (PARTITION BY doc_id ORDER BY evidence.page NULLS FIRST, evidence.span_start NULLS FIRST, fact_id)::INT AS place FROM latest")
+def reading_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts in the order of reading."""
+    place = F.struct("evidence.page", "evidence.span_start").alias("evidence")
+    return extract.in_reading_order(narrow_latest(spark, sf, place)).select("doc_id", "fact_id", "place")

@@ -17,8 +17,9 @@ def content_id(content: str = "content"):
 def read_binaries(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """(doc_id, filename, content) of files; the same bytes under two names are one document, named by the first."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    named = files.select(content_id().alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
-    return best_by(named.withColumn("__o", F.xxhash64("filename")), ["doc_id"], "__o").drop("__o")
+    named = files.select(content_id().alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "path")
+    first = named.groupBy("doc_id").agg(F.min(F.struct("filename", "path")).alias("f")).select("doc_id", "f.filename", "f.path")
+    return first.join(files.select("path", "content"), "path").select("doc_id", "filename", "content")
 
 
 def read_facts_json(spark: SparkSession, *paths: str) -> DataFrame:

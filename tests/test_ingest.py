@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import browse
 from factweave.operators.extract import extraction_stats, failed_calls, ground, proposals, stats_line, to_facts
-from factweave.plans.pipeline import ingest, load_facts, relate_ranked
+from factweave.plans.pipeline import ingest, load_facts, relate, relate_ranked
 from factweave.schema import EXTRACTION, FACT
 from factweave.sources.connect import ExtractorError, IngestError, chain, prompt
 from factweave.sources.files import accept_uploads, read_binaries, read_facts_json, write_facts_json
@@ -17,6 +17,7 @@ PAGE = {
     b"one": "Acme Widgets Limited annual report for the year ended March 31, 2024. Revenue from operations was ₹ 8,142 crore in FY24, and headcount is 1,200 people.",
     b"two": "Acme Widgets quarterly note for investors, published in May 2024. Revenue from operations was ₹ 81,415.38 million in FY2023-24; the rest is unchanged.",
     b"scan": "",
+    b"thin": "A note of few words but of more than fifty letters, without anything in it to read.",
 }
 
 
@@ -53,6 +54,62 @@ def test_ingest_end_to_end(spark, tmp_path):
     assert store.read("facts").count() == 1 and store.read("relations").count() == 0 and store.read("filings").count() == 1
 
 
+def test_a_mixed_batch_has_an_outcome_for_each(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        asked.add(1)
+        assert text == prompt(text.split("Passage:\n", 1)[1])
+        return extractor(text)
+
+    report = ingest(store, binaries(spark, "one", "scan", "thin"), parser, counted)
+    assert {r.doc_id: (r.outcome, r.kept) for r in report.collect()} == {"one": ("ingested", 1), "scan": ("no text layer", 0), "thin": ("no passage", 0)}
+    assert asked.value == 1 and store.read("filings").count() == 1
+    # a raised prompt version asks again and loses nothing
+    report = ingest(store, binaries(spark, "one", "two"), parser, counted, version="v2")
+    assert {r.doc_id: (r.outcome, r.kept) for r in report.collect()} == {"two": ("ingested", 1)}
+    assert store.read("facts").count() == 2 and store.read("extractions").count() == 2 and asked.value == 2
+
+
+def test_text_layer_of_blank_pages(spark, tmp_path):
+    def scanned(content):  # ten pages, text on two that are not sampled
+        for n in range(1, 11):
+            yield n, 0, 0, 0, 0, "printed words " * 9 if n in (2, 4) else "", (0.0, 0.0, 1.0, 1.0)
+
+    with pytest.raises(IngestError, match="no text layer"):
+        ingest(Store(spark, str(tmp_path / "s")), binaries(spark, "x"), scanned, extractor)
+
+
+def test_writes_touch_their_buckets_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=8)
+    store.save("filings", spark.createDataFrame([(f"d{i}", f"{i}.pdf") for i in range(40)], "doc_id string, filename string"))
+    before = store._manifest()[1]["filings"]
+    old = store.read("filings")
+    store.save("filings", spark.createDataFrame([("d7", "new.pdf")], "doc_id string, filename string"))
+    after = store._manifest()[1]["filings"]
+    assert len(before) > 4 and sum(before[b] != after[b] for b in before) == 1
+    assert old.count() == 40 and store.get("filings", doc_id="d7").first().filename == "new.pdf" and store.read("filings").count() == 40
+    store.delete("filings", spark.createDataFrame([("d7",), ("no",)], "doc_id string"))
+    assert store.read("filings").count() == 39 and len(store._versions()) == 2
+    version, manifest = store._manifest()
+    store.clear("filings")
+    with pytest.raises(RuntimeError):
+        store._commit(version + 1, manifest)
+
+
+def test_structured_answers_and_providers():
+    from factweave.sources.connect import get_provider, register_provider, structured
+
+    good = '{"facts": [{"quote": "q", "confidence": 0.5}]}'
+    bad = ['{"facts": 3}', '{"facts": ["x"]}', "no json", '{"facts": [{"quote": 1}]}', '{"facts": [{"quote": "q", "subject": {}}]}']
+    assert structured(lambda p: good)("p") == good and chain([*[structured(lambda p, b=b: b) for b in bad], structured(lambda p: good)])("p") == good
+    with pytest.raises(ExtractorError):
+        get_provider("none")
+    register_provider("stub", extractor)
+    assert get_provider() is extractor and get_provider("stub") is extractor
+
+
 def test_store_upsert_clear_get(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.read("filings").count() == 0 and not store.has("filings", doc_id="a")
@@ -98,7 +155,7 @@ def test_binary_scan(spark, tmp_path):
     for n, c in (("a.pdf", b"x"), ("b.pdf", b"x"), ("c.pdf", b"y"), ("d.txt", b"z")):
         (tmp_path / n).write_bytes(c)
     rows = read_binaries(spark, str(tmp_path)).collect()
-    assert len(rows) == 2 and all(len(r.doc_id) == 16 for r in rows)
+    assert sorted(r.filename for r in rows) == ["a.pdf", "c.pdf"] and all(len(r.doc_id) == 16 for r in rows) and {bytes(r.content) for r in rows} == {b"x", b"y"}
 
 
 def test_uploads(spark):
@@ -114,8 +171,10 @@ def test_stream_is_idempotent(spark, tmp_path):
     facts.repartition(3).write.parquet(str(tmp_path / "in"))
     facts.repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
     store = Store(spark, str(tmp_path / "s"))
-    q = ingest_stream(fact_stream(spark, str(tmp_path / "in"), 2), store, str(tmp_path / "cp"), relate=False)
-    q.awaitTermination(120)
+    q = ingest_stream(fact_stream(spark, str(tmp_path / "in"), 2), store, str(tmp_path / "cp"), relate=True)
+    q.awaitTermination(300)
+    judged = {(r.left_id, r.right_id) for r in store.read("relations").collect()}
+    assert judged == {(r.left_id, r.right_id) for r in relate(facts).collect()} and judged
     assert store.read("facts").count() == facts.select("fact_id").distinct().count()
 
 
