@@ -104,7 +104,7 @@ def general_number(v: Column, n: int = 4) -> Column:
     """A number in up to ``n`` digits with thousands set off, in powers of ten where it is under 0.0001 or has more digits before the point."""
     e, s = _digits(v, n)
     tail = lambda x: F.when(F.length(F.rtrim(x, F.lit("0"))) > 0, F.concat(F.lit("."), F.rtrim(x, F.lit("0")))).otherwise(F.lit(""))
-    power = F.concat(F.substring(s, 1, 1), tail(F.substring(s, 2, n)), F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    power = F.concat(F.substring(s, 1, 1), tail(F.substring(s, 2, n)), F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.when(F.abs(e) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(e).cast("string"))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), F.rtrim(s, F.lit("0")))
     plain = F.concat(F.format_number(F.substring(s, F.lit(1), e + 1).cast("long"), 0), tail(F.substring(s, e + 2, F.lit(n))))
     said = F.when((e < -4) | (e >= n), power).when(e < 0, small).otherwise(plain)

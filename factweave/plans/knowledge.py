@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factweave.functions import identity, periods, quantities, text, tokens
 from factweave.operators import browse, extract, layout
 from factweave.operators.dedupe import best_by, latest_facts, surest_facts, upsert
-from factweave.operators.pairs import candidate_ids, candidate_pairs, exact_ids, features
+from factweave.operators.pairs import candidate_ids, candidate_pairs, exact_ids, exact_links, features
 from factweave.operators.verdicts import interesting, judge
 from factweave.plans.registry import Registry
 from factweave.session import cut, table
@@ -324,6 +324,17 @@ def candidate_pairs_exact(spark: SparkSession, sf: str) -> DataFrame:
     return exact_ids(feats).select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "fact_links",
+    f"""WITH {FEATURES_SQL.replace(' AND count(*) <= 400', '')}, {SCORED_SQL}, ends AS (SELECT left_id AS fact_id FROM pairs UNION ALL SELECT right_id FROM pairs),
+counted AS (SELECT fact_id, count(*) AS n FROM ends GROUP BY fact_id)
+SELECT f.fact_id, min(f.fact_id) OVER (PARTITION BY m, s, u, q, v IS NOT NULL) AS class_id, coalesce(n, 0)::BIGINT AS n_links FROM feat f LEFT JOIN counted USING (fact_id)""",
+)
+def fact_links(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 exactly, one row a fact: its class of facts alike in names and unit, and how many facts it pairs with."""
+    return exact_links(pair_features(spark, sf))
+
+
 def _residual_sql(x: str) -> str:
     def side(own: str, other: str) -> str:
         explained = " ".join(f"WHEN t IN ({_list(g)}) THEN len(list_intersect({other}.{x}, {_array(g)})) > 0" for g in identity.SYNONYMS)

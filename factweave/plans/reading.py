@@ -199,7 +199,7 @@ def sql_general(v: str) -> str:
     m0 = f"round(CASE WHEN {e0} >= 3 THEN abs({v}) / pow(10.0::DOUBLE, {e0} - 3) ELSE abs({v}) * pow(10.0::DOUBLE, 3 - {e0}) END)::BIGINT"
     e, s = f"({e0} + CASE WHEN {m0} >= 10000 THEN 1 ELSE 0 END)", f"(CASE WHEN {m0} >= 10000 THEN '1000' ELSE {m0}::VARCHAR END)"
     tail = lambda x: f"(CASE WHEN length(rtrim({x}, '0')) > 0 THEN '.' || rtrim({x}, '0') ELSE '' END)"
-    power = f"{s}[1] || {tail(f'{s}[2:]')} || 'e' || CASE WHEN {e} < 0 THEN '-' ELSE '+' END || lpad(abs({e})::VARCHAR, 2, '0')"
+    power = f"{s}[1] || {tail(f'{s}[2:]')} || 'e' || CASE WHEN {e} < 0 THEN '-' ELSE '+' END || CASE WHEN abs({e}) < 10 THEN '0' ELSE '' END || abs({e})"
     small = f"'0.' || repeat('0', -{e} - 1) || rtrim({s}, '0')"
     plain = f"format('{{:,}}', substring({s}, 1, {e} + 1)::BIGINT) || {tail(f'substring({s}, {e} + 2)')}"
     return f"(CASE WHEN {v} = 0 THEN '0' ELSE CASE WHEN {v} < 0 THEN '-' ELSE '' END || CASE WHEN {e} < -4 OR {e} >= 4 THEN {power} WHEN {e} < 0 THEN {small} ELSE {plain} END END)"

@@ -71,3 +71,17 @@ def test_grounding_quality(spark):
     df = spark.createDataFrame([(i, r, q) for i, (r, q, _) in enumerate(cases)], "i int, r string, q string")
     got = [r.x.factor for r in df.select("i", text.grounding_quality(F.col("r"), F.col("q")).alias("x")).orderBy("i").collect()]
     assert got == pytest.approx([c[2] for c in cases])
+
+
+def test_shown_numbers(spark):
+    from factweave.operators.browse import display_value, general_number
+
+    values = [0.0, 5.0, -5.0, 1234.0, 1234.6, 12345.6, 9999.6, 99996.0, 8.142e10, 0.5, 0.012346, 0.00001234, 123.4, -1e6, 999.96, 1e-4, 7e15, 0.1]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    assert [r.s for r in df.orderBy("i").select(general_number(F.col("v")).alias("s")).collect()] == [f"{v:,.4g}" for v in values]
+    cases = [
+        (8.142e10, "INR", None, "₹81,420.00 Mn"), (-2.5e6, "USD", None, "$-2.50 Mn"), (1234.5, "EUR", None, "€1,234.5"), (6.4, "percent", None, "6.4%"), (1200.0, "count", None, "1,200"),
+        (135.806, "km", None, "135.81 km"), (-0.001, "km", None, "0 km"), (5.0, None, None, "5"), (None, "INR", "said", "said"), (None, None, "", "—"), (None, None, None, "—"), (float("nan"), "km", None, "—"), (1e300, "km", None, "1e+300"),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, v double, u string, t string")
+    assert [r.s for r in df.orderBy("i").select(display_value(F.col("v"), F.col("u"), F.col("t")).alias("s")).collect()] == [c[3] for c in cases]

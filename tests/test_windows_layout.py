@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from factweave.operators.layout import boxes_for, flatten_spans, has_text_layer, page_blocks, page_texts
+from factweave.operators.layout import boxes_for, flatten_spans, has_text_layer, overlaps, page_blocks, page_texts
 from factweave.operators.windows import build_windows, score_windows, select_windows, text_blocks
 
 
@@ -73,3 +73,15 @@ def test_layout_offsets(spark):
 def test_text_layer(spark):
     df = spark.createDataFrame([("a", i, "x" * 60 if i == 8 else "") for i in range(10)] + [("b", 1, " " * 90), ("c", 1, "y" * 51)], "doc_id string, page int, text string")
     assert {r.doc_id: r.has_text for r in has_text_layer(df).collect()} == {"a": True, "b": False, "c": True}
+
+
+def test_overlaps_match_brute_force(spark):
+    random.seed(6)
+    rows = [(i, random.choice(["a", "b"]), (s := random.randrange(3000)), s + random.choice([1, 5, 40, 700, 2500])) for i in range(80)]
+    rows += [(100, "a", 5, 5), (101, "a", 9, 4), (102, None, 0, 3000), (103, "a", None, 10), (104, "a", 0, None)]
+    df = spark.createDataFrame(rows, "i int, k string, start int, stop int")
+    good = [r for r in rows if None not in r and r[3] > r[2]]
+    want = sorted((a[0], b[0]) for a in good for b in good if a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
+    for width in (64, 512):
+        assert sorted((r.left.i, r.right.i) for r in overlaps(df, df, ["k"], width).collect()) == want
+    assert overlaps(df.limit(0), df, ["k"]).count() == 0
