@@ -1,8 +1,10 @@
 import random
+from itertools import product
 
 import pytest
 
-from factweave.llm.names import Reader, firm_entities, learn, measure_entities, name_entities, person_entities, variants
+from factweave.llm.names import Reader, _abbreviates, firm_entities, learn, measure_entities, name_entities, person_entities, variants
+from factweave.llm.readings import ALWAYS, AS_IT_STANDS, STOOD_IN, assign, fitting, written_out
 from factweave.llm.trie import bound, build, edits, neighbours, trie_join
 
 
@@ -162,6 +164,74 @@ def test_measures(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g, _ in MEASURES)
 
 
+def test_all_words_and_readings_of_measures(spark):
+    rng = random.Random(4)
+    # the seventh most used word that begins with `pr`
+    sevenths = ["pressure gauge", "process steps", "product lines", "profit margin", "promise kept", "property rents", "provision booked"]
+    groups = [[(n, 90 - 10 * k)] for k, n in enumerate(sevenths)]
+    groups[6].append(("pr. booked", 10))
+    # four tokens that each may be one of five words: 1296 ways, the right one is the last
+    short = {c: [c + "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4)) + "z" for _ in range(5)] for c in "bdfg"}
+    groups += [[(w, 90 - 10 * k)] for ws in short.values() for k, w in enumerate(ws)]
+    groups.append([(" ".join(ws[-1] for ws in short.values()), 20), ("bz. dz. fz. gz.", 10)])
+    # a stand-in in a name of thirteen words
+    twelve = " ".join(made_up(rng, 12))
+    groups.append([(f"{twelve} wind turbines", 100), (f"{twelve} xqk", 3)])
+    got = {}
+    for r in measure_entities(spark.createDataFrame([r for g in groups for r in g], "name string, n int"), "name", "n").collect():
+        got.setdefault(r.entity, set()).add(r.name)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(n for n, _ in g) for g in groups)
+
+
+def test_assignment_matches_all_readings():
+    rng = random.Random(5)
+    for _ in range(400):
+        options = [[(k, tuple(rng.choice("abcd") for _ in range(rng.choice((1, 1, 1, 2))))) for k in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 5))]
+        readings = {}
+        for c in product(*options):
+            readings.setdefault(tuple(sorted(w for _, ws in c for w in ws)), [k for k, _ in c])
+        for target in {*readings, tuple(sorted(rng.choice("abcd") for _ in range(rng.randint(1, 6))))}:
+            assert assign(options, list(target)) == readings.get(target)
+    assert assign([], []) is None
+    many = [[(k, (w,)) for k, w in enumerate("abcdefghij")] for _ in range(11)] + [[(k, (w,)) for k, w in enumerate("abcdefghijklmnopqrstu")] for _ in range(10)]
+    assert assign(many, list("abcdefghijklmnopqrstu")) is None and assign(many[1:], list("abcdefghijklmnopqrst")) == [*range(20)]
+
+
+def test_words_and_readings_are_all_met(spark):
+    rng = random.Random(6)
+    used = {"".join(rng.choice("abcs") for _ in range(rng.randint(1, 9))): rng.randint(1, 30) for _ in range(300)}
+    tokens = {(w + d, w, used[w]) for w in rng.sample(sorted(used), 120) for d in ("", ".")}
+    got = sorted(map(tuple, written_out(spark.createDataFrame(sorted(tokens), "token string, word string, n long"), spark.createDataFrame(sorted(used.items()), "word string, n long")).collect()))
+    want = sorted((t, v, m) for t, w, n in tokens for v, m in used.items() if len(w) <= 7 + (t != w) and m > n and len(v) > len(w) + (t == w and len(w) > 2) and _abbreviates(w, v))
+    assert got == want and len({t for t, _, _ in want}) > 20
+
+    options = {}
+    for t in "stuvwxyz":
+        options[t] = [(k, rng.choice((ALWAYS, ALWAYS, AS_IT_STANDS, STOOD_IN)) if k else ALWAYS, [rng.choice("abcde") for _ in range(rng.choice((1, 1, 2)) if k else 1)]) for k in range(rng.randint(1, 4))]
+    options["r"] = [(0, ALWAYS, ["e"])]
+    names = {f"n{i}": [rng.choice("rrrstuvwxyz") for _ in range(rng.randint(1, 4))] for i in range(60)}
+    targets = {" ".join(sorted(rng.choice("abcde") for _ in range(rng.randint(1, 5)))) for _ in range(120)}
+    want = {}
+    for name, ts in names.items():
+        for side, aside in ((AS_IT_STANDS, False), (STOOD_IN, True)):
+            for c in product(*([o for o in options[t] if o[1] in (ALWAYS, side)] for t in ts)):
+                said = " ".join(sorted(w for _, _, ws in c for w in ws))
+                if said in targets:
+                    want.setdefault((name, said), (aside, [k for k, _, _ in c]))
+    items = spark.createDataFrame([(a, 0, p, t) for a, ts in names.items() for p, t in enumerate(ts)], "name string, k int, pos int, token string")
+    opts = spark.createDataFrame([(t, *o) for t, os in options.items() for o in os], "token string, idx int, side int, words array<string>")
+    got = fitting(items, opts, spark.createDataFrame([(t,) for t in sorted(targets)] * 2, "target string")).collect()
+    assert len(got) == len(want) and {(r.name, r.target): (r.aside, r["rank"]) for r in got} == want and any(a for a, _ in want.values())
+
+
+def test_long_names_teach(spark):
+    rng = random.Random(9)
+    rows = []
+    for k, stem in enumerate(made_up(rng, 30)):
+        rows.append((" ".join([stem, "shipping" if k % 2 else "chemicals", *made_up(rng, 11), "limited"]), 5))
+    assert {"chemicals", "shipping"} <= set(learn(spark.createDataFrame(rows, "name string, n long")).trades)
+
+
 def test_variants_of_a_table(spark):
     rows = [(n, m, "x") for n in [*NAMES[3], None, "", "z" * 3000] for m in [*MEASURES[1][0], None, "", "-"] for _ in range(2)]
     got = {tuple(r) for r in variants(spark.createDataFrame(rows, "subject_key string, metric_key string, name string"), reader=READER).collect()}
