@@ -20,7 +20,7 @@ from factweave.sources.store import Store
 
 def relate(facts: DataFrame, threshold: float = THRESHOLD, cap: int | None = POSTING_CAP, min_confidence: float = 0.0, cross_document_only: bool = False, max_pairs: int | None = None, new_ids: DataFrame | None = None) -> DataFrame:
     """Interesting relations among facts (each fact_id taken once, its latest row)."""
-    feats = cut(features(latest_facts(facts)))
+    feats, _ = saved(features(latest_facts(facts)))
     pairs = candidate_pairs(feats, threshold, cap, cross_document_only, new_ids, max_pairs)
     return interesting(judge(pairs), min_confidence)
 
